@@ -26,6 +26,26 @@ def text_to_long(text: Column) -> Column:
     return text_to_double(text).try_cast("bigint")
 
 
+def three_decimals(value: Column) -> Column:
+    """The number with three decimals, rounded from its exact binary value.
+
+    The JVM's formatter rounds the shortest decimal text instead, which differs
+    where that text ends in 5. The rounding error of ``value * 1000`` is computed
+    exactly (Dekker's product) and decides such ties.
+    """
+    size = F.abs(value)
+    scaled = size * 1000.0
+    head = size * 134217729.0 - (size * 134217729.0 - size)
+    error = (head * 1000.0 - scaled) + (size - head) * 1000.0
+    low = F.floor(scaled)
+    tie = F.when(error > 0, low + 1).when(error < 0, low).otherwise(low + low % 2)
+    units = F.when(scaled - low == 0.5, tie).otherwise(F.rint(scaled).cast("bigint"))
+    thousandths = F.lpad((units % 1000).cast("string"), 3, "0")
+    sign = F.when(value < 0, "-").otherwise("")
+    exact = F.concat(sign, F.floor(units / 1000).cast("string"), F.lit("."), thousandths)
+    return F.when(size < 1e12, exact).otherwise(F.format_string("%.3f", value))
+
+
 # A payload value is carried as one string: the first two letters of its variant
 # type, then its text. These are the falsy ones: null, "", false, 0, 0.0, [], {}.
 _FALSY = ["VO", "ST", "BOfalse", "BI0", "DE0", "DO0.0", "DO-0.0", "AR[]", "OB{}"]

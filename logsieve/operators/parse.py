@@ -17,6 +17,7 @@ from ..options import check_format, merge_mapping
 from ..schema import EVENT_COLUMNS, EVENT_FIELDS
 
 MODES = ("keep", "drop", "failfast")
+_BLANK = "blank line"
 _END = "__logsieve_end__"
 _PLAIN_GROUPS = [
     "remote_addr",
@@ -94,7 +95,8 @@ def _to_events(df: DataFrame, kept: Sequence[str], columns: Mapping[str, Column]
     typed = [
         columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in EVENT_FIELDS
     ]
-    row = F.struct(*typed, columns["reject_reason"].alias("reject_reason"))
+    reason = F.when(F.col("value") == "", _BLANK).otherwise(columns["reject_reason"])
+    row = F.struct(*typed, reason.alias("reject_reason"))
     return df.select(*kept, row.alias("_row")).select(*kept, F.inline_outer(F.array("_row")))
 
 
@@ -341,18 +343,22 @@ def parse_access_logs(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    clean = nonblank_lines(lines)
+    clean = lines.withColumn("value", strip(F.col("value")))
     if check_format(fmt) == "plain":
         parsed = _parse_plain(clean, list(patterns) if patterns else fv.PLAIN_PATTERNS)
     else:
         parsed = _parse_jsonl(clean, merge_mapping(mapping))
+    reason = F.col("reject_reason")
+    if mode == "drop":
+        return parsed.filter(reason.isNull()).drop("reject_reason", "value")
+    # Blank lines leave here, above the generator, for the same reason as the
+    # filters of later steps.
+    parsed = parsed.filter(reason.isNull() | (reason != _BLANK))
     if mode == "keep":
         return parsed
-    if mode == "failfast":
-        failure = F.raise_error(F.concat(F.col("reject_reason"), F.lit(": "), F.col("value")))
-        passes = F.when(F.col("reject_reason").isNotNull(), failure.cast("boolean")).otherwise(True)
-        return parsed.filter(passes).drop("reject_reason", "value")
-    return parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason", "value")
+    failure = F.raise_error(F.concat(reason, F.lit(": "), F.col("value")))
+    passes = F.when(reason.isNotNull(), failure.cast("boolean")).otherwise(True)
+    return parsed.filter(passes).drop("reject_reason", "value")
 
 
 def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

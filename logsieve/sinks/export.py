@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import clf_text, iso_text
+from ..functions.values import three_decimals
 
 # Keys of an exported JSON line, in order.
 JSON_KEYS = [
@@ -24,7 +25,7 @@ def plain_lines(events: DataFrame, *kept: str) -> DataFrame:
     parts = [F.when(F.col(name) != "", F.col(name)) for name in ("method", "path", "protocol")]
     request = F.concat_ws(" ", *parts)
     value = F.format_string(
-        '%s - %s [%s] "%s" %d %d "%s" "%s" %.3f',
+        '%s - %s [%s] "%s" %d %d "%s" "%s" %s',
         _or_dash("remote_addr"),
         _or_dash("remote_user"),
         clf_text(F.col("event_local"), F.col("utc_offset")),
@@ -33,7 +34,7 @@ def plain_lines(events: DataFrame, *kept: str) -> DataFrame:
         F.coalesce(F.col("bytes_sent"), F.lit(0)),
         _or_dash("referrer"),
         _or_dash("user_agent"),
-        F.coalesce(F.col("request_time"), F.lit(0.0)),
+        three_decimals(F.coalesce(F.col("request_time"), F.lit(0.0))),
     )
     return events.select(*kept, value.alias("value"))
 

