@@ -23,16 +23,18 @@ _EPOCH = "timestamp_ntz '1970-01-01 00:00:00'"
 
 
 def time_pieces(text: Column) -> Column:
-    """Array of year, month, day, hour, minute, second, fraction, offset; else null.
+    """Array of "", year, month, day, hour, minute, second, fraction, offset.
 
-    One regex pass per format rearranges the text into marked pieces.
+    One regex pass rearranges the text into marked pieces; a text in neither
+    format gives an array of one element. Only the slash format has a slash
+    after the one or two digits of its day.
     """
     order = _MARK.join(["", "$3", "$2", "$1", "$4", "$5", "$6", "0", "$7"])
     clf = F.regexp_replace(text, _CLF, order)
     order = _MARK.join(["", "$1", "$3", "$4", "$5", "$7", "$8", "$9", "$10"])
     iso = F.regexp_replace(text, _ISO, order)
-    chosen = F.when(clf.startswith(_MARK), clf).when(iso.startswith(_MARK), iso)
-    return F.split(F.substring(chosen, 2, 200), _MARK)
+    chosen = F.when(F.instr(text, "/").between(2, 3), clf).otherwise(iso)
+    return F.split(F.when(~F.contains(text, F.lit(_MARK)), chosen), _MARK)
 
 
 def local_time(pieces: Column) -> Column:
@@ -42,18 +44,18 @@ def local_time(pieces: Column) -> Column:
         value = F.get(pieces, F.lit(index))
         return F.when(value == "", default).otherwise(value)
 
-    name = F.instr(F.lit(_MONTHS), F.lower(piece(1)))
-    by_name = F.when(name % 3 == 1, ((name + 2) / 3).cast("int").cast("string"))
-    month = F.when(piece(1).rlike("^[0-9]+$"), piece(1)).otherwise(by_name)
-    day = F.concat_ws("-", piece(0), month, piece(2))
-    clock = F.concat_ws(":", piece(3), piece(4), piece(5))
-    full = F.concat(day, F.lit(" "), clock, F.lit("."), piece(6, "0"))
-    return F.when(pieces.isNotNull() & month.isNotNull(), full.try_cast("timestamp_ntz"))
+    month = F.get(pieces, F.lit(2))
+    at = F.instr(F.lit(_MONTHS), F.lower(month))
+    named = F.when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string"))
+    number = F.when(F.length(month) == 3, named).otherwise(month)
+    day = F.concat(piece(1), F.lit("-"), number, F.lit("-"), piece(3))
+    clock = F.concat(piece(4), F.lit(":"), piece(5), F.lit(":"), piece(6), F.lit("."), piece(7, "0"))
+    return F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz")
 
 
 def offset_text(pieces: Column) -> Column:
     """Offset as ``+HH:MM`` (or ``+HH:MM:SS``); null when the text has none."""
-    zone = F.get(pieces, F.lit(7))
+    zone = F.get(pieces, F.lit(8))
     digits = F.regexp_replace(F.substring_index(zone, ".", 1), "[^0-9]", "")
     hours = F.substring(digits, 1, 2)
     minutes = F.rpad(F.substring(digits, 3, 2), 2, "0")
@@ -69,11 +71,14 @@ def offset_text(pieces: Column) -> Column:
 
 
 def offset_seconds(offset: Column) -> Column:
+    def part(start: int) -> Column:
+        return F.substring(offset, start, 2).cast("int")
+
     sign = F.when(offset.startswith("-"), -1).otherwise(1)
-    hours = F.substring(offset, 2, 2).try_cast("int")
-    minutes = F.substring(offset, 5, 2).try_cast("int")
-    seconds = F.coalesce(F.substring(offset, 8, 2).try_cast("int"), F.lit(0))
-    return F.coalesce(sign * (hours * 3600 + minutes * 60 + seconds), F.lit(0))
+    minutes = part(2) * 60 + part(5)
+    whole = F.when(F.length(offset) > 6, minutes * 60 + part(8)).otherwise(minutes * 60)
+    # Most logs are in UTC; a missing offset counts as UTC too.
+    return F.when(offset.isNull() | (offset == "+00:00"), 0).otherwise(sign * whole)
 
 
 def local_micros(local: Column) -> Column:

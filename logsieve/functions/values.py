@@ -46,9 +46,10 @@ def three_decimals(value: Column) -> Column:
     return F.when(size < 1e12, exact).otherwise(F.format_string("%.3f", value))
 
 
-# A payload value is carried as one string: the first two letters of its variant
-# type, then its text. These are the falsy ones: null, "", false, 0, 0.0, [], {}.
-_FALSY = ["VO", "ST", "BOfalse", "BI0", "DE0", "DO0.0", "DO-0.0", "AR[]", "OB{}"]
+# A payload value is carried as one string: a quote and the text for a JSON string,
+# else the JSON text itself. These are the falsy ones.
+_FALSY = ["null", '"', "false", "0", "0.0", "-0.0", "[]", "{}"]
+_NUMBER_START = [*"-0123456789"]
 
 
 class JsonValue:
@@ -60,16 +61,14 @@ class JsonValue:
     @staticmethod
     def tag(value: Column) -> Column:
         """The column to put into a projection, from a variant column."""
-        text = F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
-        return F.concat(F.left(F.schema_of_variant(value), F.lit(2)), text)
+        shown = F.to_json(value)
+        text = F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"))
+        return F.when(shown.startswith('"'), text).otherwise(shown)
 
     @property
     def raw(self) -> Column:
-        """The text without the tag."""
-        return F.substring(self.tagged, 3, 2147483647)
-
-    def is_kind(self, *kinds: str) -> Column:
-        return F.coalesce(F.left(self.tagged, F.lit(2)).isin(*kinds), F.lit(False))
+        """The text without the quote."""
+        return F.when(self.is_text, F.substring(self.tagged, 2, 2147483646)).otherwise(self.tagged)
 
     @property
     def absent(self) -> Column:
@@ -78,37 +77,48 @@ class JsonValue:
     @property
     def missing(self) -> Column:
         """Absent or JSON null."""
-        return F.coalesce(self.tagged, F.lit("VO")) == "VO"
+        return F.coalesce(self.tagged, F.lit("null")) == "null"
+
+    def _starts(self, *marks: str) -> Column:
+        return F.coalesce(F.substring(self.tagged, 1, 1).isin(*marks), F.lit(False))
 
     @property
     def is_text(self) -> Column:
-        return self.is_kind("ST")
+        return F.coalesce(self.tagged.startswith('"'), F.lit(False))
 
     @property
     def is_number(self) -> Column:
-        return self.is_kind("BI", "DE", "DO")
+        return self._starts(*_NUMBER_START)
+
+    @property
+    def is_object(self) -> Column:
+        return self._starts("{")
 
     @property
     def truthy(self) -> Column:
-        return ~F.coalesce(self.tagged, F.lit("VO")).isin(_FALSY)
+        return ~F.coalesce(self.tagged, F.lit("null")).isin(_FALSY)
 
     @property
     def as_text(self) -> Column:
         """The value as text; null when missing."""
-        return F.when(self.is_kind("BO"), F.initcap(self.raw)).when(~self.missing, self.raw)
+        return F.when(self.tagged.isin("true", "false"), F.initcap(self.tagged)).when(
+            ~self.missing, self.raw
+        )
 
     @property
     def as_long(self) -> Column:
+        whole = ~self.tagged.rlike("[.eE]")
         return (
-            F.when(self.is_kind("BI"), self.raw.try_cast("bigint"))
-            .when(self.is_kind("DE", "DO"), self.raw.try_cast("double").try_cast("bigint"))
-            .when(self.is_text, text_to_long(clean_dash(self.raw)))
-            .when(self.is_kind("BO"), (self.tagged == "BOtrue").cast("bigint"))
+            F.when(self.is_text, text_to_long(clean_dash(self.raw)))
+            .when(self.is_number & whole, self.tagged.try_cast("bigint"))
+            .when(self.is_number, self.tagged.try_cast("double").try_cast("bigint"))
+            .when(self.tagged == "true", 1)
+            .when(self.tagged == "false", 0)
         )
 
     @property
     def as_double(self) -> Column:
-        return F.when(self.is_number, self.raw.try_cast("double")).when(
+        return F.when(self.is_number, self.tagged.try_cast("double")).when(
             self.is_text, text_to_double(clean_dash(self.raw))
         )
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import times
-from ..functions.text import clean_dash, group, match_groups, strip
+from ..functions.text import clean_all, group, match_groups, strip
 from ..functions.values import JsonValue, first_truthy, text_to_double, text_to_long
 from ..options import check_format, merge_mapping
 from ..schema import EVENT_COLUMNS, EVENT_FIELDS
@@ -30,6 +30,10 @@ _PLAIN_GROUPS = [
     "user_agent",
     "request_time",
 ]
+_PLAIN_CLEANED = [name for name in _PLAIN_GROUPS if name not in ("time_local", "request")]
+_DASHED = ["remote_addr", "remote_user", "user_agent", "referrer", "x_forwarded_for"]
+_WHOLE = ["status", "bytes_sent", "request_length"]
+_TEXT_ONLY = ["method", "protocol", "host", "service", "message", "level"]
 
 
 def status_level(status: Column) -> Column:
@@ -120,16 +124,25 @@ def _parse_plain(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
         return chain.otherwise(None)
 
     any_match = F.greatest(*[F.size(name) for name in matches], F.lit(0)) > 1
-    df = df.select(*kept, *[raw(name).alias(f"_{name}") for name in _PLAIN_GROUPS],
-                   any_match.alias("_matched"))
     request = F.col("_request")
+    df = df.select(
+        *kept,
+        clean_all([raw(name) for name in _PLAIN_CLEANED]).alias("_clean"),
+        raw("request").alias("_request"),
+        raw("time_local").alias("_time"),
+        any_match.alias("_matched"),
+    )
+
+    def cleaned(name: str) -> Column:
+        return F.get("_clean", F.lit(_PLAIN_CLEANED.index(name)))
+
     df = df.withColumns(
         {
             "_parts": request_parts(request),
-            "_pieces": times.time_pieces(F.col("_time_local")),
-            "_status_n": text_to_long(clean_dash(F.col("_status"))).try_cast("int"),
-            "_bytes_n": text_to_long(clean_dash(F.col("_bytes_sent"))),
-            "_time_n": text_to_double(clean_dash(F.col("_request_time"))),
+            "_pieces": times.time_pieces(F.col("_time")),
+            "_status_n": text_to_long(cleaned("status")).try_cast("int"),
+            "_bytes_n": text_to_long(cleaned("bytes_sent")),
+            "_time_n": text_to_double(cleaned("request_time")),
         }
     )
     df = df.withColumns(
@@ -142,7 +155,7 @@ def _parse_plain(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     status = F.col("_status_n")
 
     def bad(name: str, number: str) -> Column:
-        return clean_dash(F.col(f"_{name}")).isNotNull() & F.col(number).isNull()
+        return cleaned(name).isNotNull() & F.col(number).isNull()
 
     columns = {
         "event_ts": times.absolute_time(F.col("_local"), F.col("_offset")),
@@ -169,7 +182,7 @@ def _parse_plain(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
         ),
     }
     for name in ("remote_addr", "remote_user", "referrer", "user_agent"):
-        columns[name] = clean_dash(F.col(f"_{name}"))
+        columns[name] = cleaned(name)
     return _to_events(df, kept, columns)
 
 
@@ -195,136 +208,160 @@ def _read_payload(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _parse_jsonl(lines: DataFrame, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Values go through arrays, so each rule is generated once and not per field."""
     kept = lines.columns
     chain_names = [name for chain in fv.TRUTHY_CHAINS.values() for name in chain]
     needed = list(dict.fromkeys([*fv.JSON_FIELD_MAPPING, *chain_names, "attributes"]))
-    aliases = {name: [*mapping.get(name, []), name] for name in needed}
+    aliases = {name: list(dict.fromkeys([*mapping.get(name, []), name])) for name in needed}
     keys = list(dict.fromkeys(key for name in needed for key in aliases[name]))
     df = _read_payload(lines, keys)
 
     def resolved(name: str) -> Column:
-        return F.coalesce(*[F.col("_doc").getField(key) for key in dict.fromkeys(aliases[name])])
+        return F.coalesce(*[F.col("_doc").getField(key) for key in aliases[name]])
 
     df = df.select(
         *kept,
         F.col("_doc").isNotNull().alias("_object"),
         resolved("attributes").alias("_attributes"),
-        *[JsonValue.tag(resolved(name)).alias(f"_v_{name}") for name in needed],
+        F.transform(F.array(*[resolved(name) for name in needed]), JsonValue.tag).alias("_tags"),
     )
+
+    def own(name: str) -> Column:
+        return F.get("_tags", F.lit(needed.index(name)))
+
+    # An absent path is filled from the request line before its chain is read.
+    chains = {**fv.TRUTHY_CHAINS, "path": fv.TRUTHY_CHAINS["path"][1:]}
+    order = list(chains)
+    picks = [first_truthy([own(link) for link in chain]) for chain in chains.values()]
+    df = df.withColumn("_picks", F.array(*picks))
+
+    def picked(name: str) -> Column:
+        return F.get("_picks", F.lit(order.index(name)))
+
+    texts = [*[picked(name) for name in _DASHED], own("request")]
+    numbers = [picked(name) for name in (*_WHOLE, "request_time")]
+    only = [own(name) for name in _TEXT_ONLY]
     df = df.select(
         *kept,
         "_object",
         "_attributes",
-        *[f"_v_{name}" for name in ("method", "protocol", "host", "service", "message", "level")],
-        "_v_attributes",
-        F.col("_v_path").alias("_own_path"),
-        F.col("_v_timestamp").alias("_own_timestamp"),
-        clean_dash(JsonValue(F.col("_v_request")).as_text).alias("_request"),
-        *[
-            first_truthy([F.col(f"_v_{link}") for link in chain]).alias(f"_p_{name}")
-            for name, chain in fv.TRUTHY_CHAINS.items()
-            if name != "path"
-        ],
-        # An absent path is filled from the request line before the chain.
-        first_truthy([F.col(f"_v_{link}") for link in fv.TRUTHY_CHAINS["path"][1:]]).alias("_p_path"),
+        own("attributes").alias("_attributes_tag"),
+        own("path").alias("_path_tag"),
+        own("timestamp").alias("_timestamp_tag"),
+        picked("path").alias("_path_pick"),
+        picked("timestamp").alias("_timestamp_pick"),
+        F.transform(F.array(*texts), lambda tag: JsonValue(tag).as_text).alias("_texts"),
+        F.transform(F.array(*numbers), lambda tag: JsonValue(tag).holds_something).alias("_given"),
+        F.transform(F.array(*numbers[:-1]), lambda tag: JsonValue(tag).as_long).alias("_longs"),
+        JsonValue(numbers[-1]).as_double.alias("_seconds"),
+        F.transform(F.array(*only), lambda tag: JsonValue(tag).as_text).alias("_only"),
+        F.transform(F.array(*only), lambda tag: JsonValue(tag).truthy).alias("_filled"),
+        F.transform(
+            F.array(*only), lambda tag: ~JsonValue(tag).missing & ~JsonValue(tag).is_text
+        ).alias("_wrong"),
+        F.transform(F.array(*only), lambda tag: tag.isNull()).alias("_absent"),
     )
 
-    def value(name: str) -> JsonValue:
-        return JsonValue(F.col(name))
+    def at(array: str, names: Sequence[str], name: str) -> Column:
+        return F.get(array, F.lit(list(names).index(name)))
 
-    stamp = value("_p_timestamp")
+    stamp = JsonValue(F.col("_timestamp_pick"))
     df = df.withColumns(
         {
-            "_parts": request_parts(F.col("_request")),
+            "_clean": clean_all([F.get("_texts", F.lit(index)) for index in range(len(texts))]),
             "_pieces": times.time_pieces(stamp.as_text),
-            "_status_n": value("_p_status").as_long.try_cast("int"),
-            "_bytes_n": value("_p_bytes_sent").as_long,
-            "_time_n": value("_p_request_time").as_double,
-            "_length_n": value("_p_request_length").as_long,
+            "_status_n": at("_longs", _WHOLE, "status").try_cast("int"),
         }
     )
-    own_path = value("_own_path")
-    from_request = group(F.col("_parts"), 2)
-    path_text = (
-        F.when(own_path.truthy, own_path.as_text)
-        .when(own_path.absent & from_request.isNotNull(), from_request)
-        .otherwise(value("_p_path").as_text)
-    )
+    request = at("_clean", [*_DASHED, "request"], "request")
     # The number zero is taken as an epoch second when no other key holds a time.
-    zero = stamp.missing & value("_own_timestamp").is_number
+    zero = stamp.missing & JsonValue(F.col("_timestamp_tag")).is_number
     epoch_local, epoch_offset = times.epoch_start()
     df = df.withColumns(
         {
-            "_path": clean_dash(path_text),
+            "_parts": request_parts(request),
+            "_no_time": stamp.missing & ~zero,
             "_local": F.when(zero, epoch_local).otherwise(times.local_time(F.col("_pieces"))),
             "_offset": F.when(zero, epoch_offset).otherwise(times.offset_text(F.col("_pieces"))),
-            "_method": F.when(value("_v_method").absent, group(F.col("_parts"), 1)).otherwise(
-                value("_v_method").as_text
-            ),
-            "_protocol": F.when(value("_v_protocol").absent, group(F.col("_parts"), 3)).otherwise(
-                value("_v_protocol").as_text
-            ),
         }
     )
-    message, level, host, service = (
-        value(f"_v_{name}") for name in ("message", "level", "host", "service")
+    own_path = JsonValue(F.col("_path_tag"))
+    from_request = group(F.col("_parts"), 2)
+    path_text = (
+        F.when(own_path.truthy, own_path.as_text)
+        .when(own_path.absent & from_request.isNotNull(), from_request)
+        .otherwise(JsonValue(F.col("_path_pick")).as_text)
     )
+
+    def filled_in(name: str, part: int) -> Column:
+        return F.when(at("_absent", _TEXT_ONLY, name), group(F.col("_parts"), part)).otherwise(
+            at("_only", _TEXT_ONLY, name)
+        )
+
+    df = df.withColumns({"_method": filled_in("method", 1), "_protocol": filled_in("protocol", 3)})
+    shown = clean_all([path_text, F.col("_method"), F.col("_protocol")])
+    df = df.withColumn("_shown", shown)
+    path, method_shown, protocol_shown = (F.get("_shown", F.lit(index)) for index in range(3))
     status = F.col("_status_n")
-    no_source = ~host.truthy & ~service.truthy
 
-    def not_text(item: JsonValue) -> Column:
-        return ~item.missing & ~item.is_text
+    def only_text(name: str) -> Column:
+        return at("_only", _TEXT_ONLY, name)
+
+    def filled(name: str) -> Column:
+        return at("_filled", _TEXT_ONLY, name)
 
-    def bad_number(source: str, number: str) -> Column:
-        return value(source).holds_something & F.col(number).isNull()
+    def wrong(name: str) -> Column:
+        return at("_wrong", _TEXT_ONLY, name)
 
+    def bad_number(name: str, number: Column) -> Column:
+        return at("_given", [*_WHOLE, "request_time"], name) & number.isNull()
+
+    no_source = ~filled("host") & ~filled("service")
+    message = build_message(method_shown, path, protocol_shown, request)
     columns = {
         "event_ts": times.absolute_time(F.col("_local"), F.col("_offset")),
         "event_local": F.col("_local"),
         "utc_offset": F.col("_offset"),
-        "host": host.as_text,
-        "service": F.when(no_source, fv.DEFAULT_SERVICE).otherwise(service.as_text),
+        "host": only_text("host"),
+        "service": F.when(no_source, fv.DEFAULT_SERVICE).otherwise(only_text("service")),
         "method": F.col("_method"),
-        "path": F.col("_path"),
+        "path": path,
         "protocol": F.col("_protocol"),
         "status": status,
-        "bytes_sent": F.col("_bytes_n"),
-        "request_time": F.col("_time_n"),
-        "request_length": F.col("_length_n"),
-        "message": F.when(message.truthy, message.as_text).otherwise(
-            build_message(
-                clean_dash(F.col("_method")),
-                F.col("_path"),
-                clean_dash(F.col("_protocol")),
-                F.col("_request"),
-            )
-        ),
-        "level": F.when(level.truthy, level.as_text).otherwise(status_level(status)),
+        "bytes_sent": at("_longs", _WHOLE, "bytes_sent"),
+        "request_time": F.col("_seconds"),
+        "request_length": at("_longs", _WHOLE, "request_length"),
+        "message": F.when(filled("message"), only_text("message")).otherwise(message),
+        "level": F.when(filled("level"), only_text("level")).otherwise(status_level(status)),
         "attributes": F.coalesce(F.col("_attributes"), F.parse_json(F.lit("{}"))),
         "reject_reason": _reasons(
             [
                 ("not a JSON object", ~F.col("_object")),
-                ("missing timestamp", stamp.missing & ~zero),
+                ("missing timestamp", F.col("_no_time")),
                 ("bad timestamp", F.col("_local").isNull()),
-                ("bad status", bad_number("_p_status", "_status_n")),
-                ("bad bytes_sent", bad_number("_p_bytes_sent", "_bytes_n")),
-                ("bad request_time", bad_number("_p_request_time", "_time_n")),
-                ("bad request_length", bad_number("_p_request_length", "_length_n")),
-                ("method is not text", not_text(value("_v_method"))),
-                ("protocol is not text", not_text(value("_v_protocol"))),
-                ("host is not text", not_text(host)),
-                ("service is not text", not_text(service) & ~no_source),
-                ("message is not text", message.truthy & ~message.is_text),
-                ("level is not text", level.truthy & ~level.is_text),
+                ("bad status", bad_number("status", status)),
+                ("bad bytes_sent", bad_number("bytes_sent", at("_longs", _WHOLE, "bytes_sent"))),
+                ("bad request_time", bad_number("request_time", F.col("_seconds"))),
+                (
+                    "bad request_length",
+                    bad_number("request_length", at("_longs", _WHOLE, "request_length")),
+                ),
+                ("method is not text", wrong("method")),
+                ("protocol is not text", wrong("protocol")),
+                ("host is not text", wrong("host")),
+                ("service is not text", wrong("service") & ~no_source),
+                ("message is not text", filled("message") & wrong("message")),
+                ("level is not text", filled("level") & wrong("level")),
                 (
                     "attributes is not an object",
-                    ~value("_v_attributes").absent & ~value("_v_attributes").is_kind("OB"),
+                    F.col("_attributes_tag").isNotNull()
+                    & ~JsonValue(F.col("_attributes_tag")).is_object,
                 ),
             ]
         ),
     }
-    for name in ("remote_addr", "remote_user", "user_agent", "referrer", "x_forwarded_for"):
-        columns[name] = clean_dash(value(f"_p_{name}").as_text)
+    for name in _DASHED:
+        columns[name] = at("_clean", [*_DASHED, "request"], name)
     return _to_events(df, kept, columns)
 
 

@@ -275,7 +275,7 @@ def quantiles(buckets: str, by: str = "") -> str:
     group = f"GROUP BY {by}, quantile" if by else "GROUP BY quantile"
     value = (
         "CASE WHEN le = 'inf'::DOUBLE THEN lo WHEN cumulative > below "
-        "THEN lo + (le - lo) * (quantile * total - below) / (cumulative - below) ELSE lo END"
+        "THEN lo + (le - lo) * ((quantile * total - below) / (cumulative - below)) ELSE lo END"
     )
     inner = (
         f"SELECT *, coalesce(lag(cumulative) OVER ({part} ORDER BY le), 0) AS below, "

@@ -54,11 +54,21 @@ def access_log_view(events: DataFrame, pages: DataFrame) -> DataFrame:
     return events.sparkSession.sql(f"SELECT {ACCESS_LOG_COLUMNS.replace('{', '{{').replace('}', '}}')} FROM {{log}}", log=joined)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small input that sits in fewer splits than there are cores, shared out by key.
+
+    A large input has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def access_log_events(spark: SparkSession, folder: str) -> DataFrame:
     """``event_id``, ``label`` and the event columns for the tables in a folder."""
     events = spark.read.parquet(f"{folder}/events.parquet")
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    return as_events(access_log_view(events, pages))
+    columns = ["event_id", "ts", "user_id", "event_type", "value"]
+    return as_events(access_log_view(spread(events.select(columns), "event_id"), pages))
 
 
 def as_events(log: DataFrame) -> DataFrame:
