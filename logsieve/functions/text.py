@@ -136,7 +136,11 @@ def path_extension(path: Column) -> Column:
 
 def referrer_domain(referrer: Column) -> Column:
     """Network location of the referrer, or the whole text when it has none."""
-    url = F.ltrim(F.translate(referrer, "\t\r\n", ""), F.lit(URL_LEAD))
+    breaks = F.lit(False)
+    for mark in ("\t", "\r", "\n"):
+        breaks = breaks | F.contains(referrer, F.lit(mark))
+    joined = F.when(breaks, F.translate(referrer, "\t\r\n", "")).otherwise(referrer)
+    url = F.when(F.ascii(joined) > 32, joined).otherwise(F.ltrim(joined, F.lit(URL_LEAD)))
     netloc = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
     found = F.when(netloc != "", netloc).otherwise(referrer)
     return F.when(referrer.isNull() | referrer.isin("", "-"), "").otherwise(found)

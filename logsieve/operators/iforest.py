@@ -104,6 +104,16 @@ def grow_trees(samples: DataFrame, sample_size: int, seed: int) -> DataFrame:
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def training_features(events: DataFrame, id_column: str | None = None) -> DataFrame:
+    """Written feature rows with a row id ``_row``.
+
+    Training reads the features three times (moments, samples, scores); the raw
+    events are parsed and featurized once.
+    """
+    row = F.monotonically_increasing_id() if id_column is None else F.col(id_column)
+    return written(extract_features(events.withColumn("_row", row), "_row"), "features")
+
+
 class _Forest:
     """Node table as arrays of full binary trees, sent once to each executor."""
 
@@ -162,20 +172,17 @@ class ForestDetector:
     @classmethod
     def fit(
         cls,
-        events: DataFrame,
+        features: DataFrame,
         trees: int = fv.FOREST_TREES,
         contamination: float = fv.FOREST_CONTAMINATION,
         seed: int = fv.FOREST_SEED,
         sample_size: int = fv.FOREST_SAMPLE_SIZE,
-        id_column: str | None = None,
     ) -> ForestDetector:
-        """Trees and scaler; the score range is set by ``calibrate``.
+        """Trees and scaler from ``training_features``; ``calibrate`` sets the score range.
 
-        One pass gives the row count and the moments, one draws the samples. The
-        samples are written, so a lost executor cannot change a tree half-way.
+        The drawn samples and the grown nodes are written, so that a lost executor
+        cannot change a tree half-way. Both are bounded by the forest's size.
         """
-        row = F.monotonically_increasing_id() if id_column is None else F.col(id_column)
-        features = extract_features(events.withColumn("_row", row), "_row")
         moments = written(feature_moments(features), "moments")
         n = moments.first()["n"]
         if not n:
@@ -186,10 +193,11 @@ class ForestDetector:
         return cls(nodes, moments, size, contamination)
 
     @classmethod
-    def train(cls, events: DataFrame, **options: object) -> ForestDetector:
+    def train(cls, events: DataFrame, id_column: str | None = None, **options: object) -> ForestDetector:
         """Fit, then set the score range from the training rows."""
-        model = cls.fit(events, **options)
-        model.calibrate(model.raw_score_counts(events))
+        features = training_features(events, id_column)
+        model = cls.fit(features, **options)
+        model.calibrate(model.training_score_counts(features))
         return model
 
     def calibrate(self, raw_counts: DataFrame) -> None:
@@ -224,10 +232,10 @@ class ForestDetector:
         udf = self._raw_udf(events.sparkSession)
         return featured.withColumn("raw_score", udf(*names)).drop(*names)
 
-    def raw_score_counts(self, events: DataFrame, *by: str) -> DataFrame:
-        """(anomaly_score, *by, n) with the raw score."""
-        scored = self.raw_score(events)
-        return scored.groupBy(F.col("raw_score").alias("anomaly_score"), *by).agg(
+    def training_score_counts(self, features: DataFrame) -> DataFrame:
+        """(anomaly_score, n) of the raw scores of training features."""
+        raw = self._raw_udf(features.sparkSession)(*fv.FEATURE_NAMES)
+        return features.select(raw.alias("anomaly_score")).groupBy("anomaly_score").agg(
             F.count("*").alias("n")
         )
 

@@ -111,7 +111,10 @@ def status_counts(cube: DataFrame, *by: str) -> DataFrame:
 
 def technique_counts(cube: DataFrame, *by: str) -> DataFrame:
     """Detections per technique and tactic, anomalous events only."""
-    flat = cube.filter("is_anomaly").select(*by, "n", F.inline("techniques"))
+    # The outer form keeps the optimizer from testing the lists below the cube,
+    # where every rule would run a second time.
+    flat = cube.filter("is_anomaly").select(*by, "n", F.inline_outer("techniques"))
+    flat = flat.filter(F.col("technique_id").isNotNull())
     return flat.groupBy(*by, "technique_id", "tactic").agg(F.sum("n").alias("cnt"))
 
 

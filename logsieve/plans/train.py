@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators.baseline import ROW_OVERHEAD, BaselineDetector, count_stats
-from ..operators.iforest import ForestDetector
+from ..operators.iforest import ForestDetector, training_features
 from ..operators.parse import parse_access_logs
 from ..operators.ranking import moments, quantile, running_totals
 from ..options import JobOptions
@@ -49,10 +49,13 @@ def fit_baseline(events: DataFrame) -> tuple[BaselineDetector, DataFrame]:
     return model, model.training_score_counts()
 
 
-def fit_forest(events: DataFrame, **options: object) -> tuple[ForestDetector, DataFrame]:
+def fit_forest(
+    events: DataFrame, id_column: str | None = None, **options: object
+) -> tuple[ForestDetector, DataFrame]:
     """Calibrated model and the scores of its training rows, scored in one pass."""
-    model = ForestDetector.fit(events, **options)
-    raw = written(model.raw_score_counts(events), "scores")
+    features = training_features(events, id_column)
+    model = ForestDetector.fit(features, **options)
+    raw = written(model.training_score_counts(features), "scores")
     model.calibrate(raw)
     scores = raw.groupBy(model.normalized(F.col("anomaly_score")).alias("anomaly_score")).agg(
         F.sum("n").alias("n")

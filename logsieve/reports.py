@@ -19,7 +19,7 @@ from .operators import labelled as lab
 from .operators import metrics as mt
 from .operators.baseline import BaselineDetector, template_counts, unseen_templates
 from .operators.features import extract_features, feature_moments, scale_features
-from .operators.iforest import ForestDetector
+from .operators.iforest import ForestDetector, training_features
 from .operators.parse import (
     parse_access_logs,
     request_parts,
@@ -721,7 +721,7 @@ def iforest_training(spark: SparkSession, folder: str) -> DataFrame:
 @report
 def iforest_sample_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows at the root of each tree."""
-    model = ForestDetector.fit(access_log_events(spark, folder), id_column="event_id")
+    model = ForestDetector.fit(training_features(access_log_events(spark, folder), "event_id"))
     return model.nodes.filter("node = 0").select("tree", "size")
 
 
