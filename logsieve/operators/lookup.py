@@ -24,7 +24,10 @@ def lookup(
     With a known size of ``right`` the join is a broadcast up to a fixed limit,
     and beyond it a salted shuffle join: each key of the left side is spread over
     ``SALTS`` tasks by the hash of ``spread_by``, and the right side is repeated
-    once per salt, so that one key holding a third of the rows is split too.
+    once per salt, so that one key holding a third of the rows is split too. The
+    salt depends only on the row, so a repeated task sends it the same way; copies
+    of one row share a salt, and what is left of such a group is split by adaptive
+    execution, which divides large sort-merge partitions by their map outputs.
     Without a known size adaptive execution chooses from the sizes it measures.
     """
     if right_bytes is None:
