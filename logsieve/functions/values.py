@@ -62,8 +62,10 @@ class JsonValue:
     def tag(value: Column) -> Column:
         """The column to put into a projection, from a variant column."""
         shown = F.to_json(value)
-        text = F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"))
-        return F.when(shown.startswith('"'), text).otherwise(shown)
+        quoted = shown.startswith('"')
+        escaped = F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"))
+        bare = F.left(shown, F.length(shown) - 1)
+        return F.when(quoted & F.contains(shown, F.lit("\\")), escaped).when(quoted, bare).otherwise(shown)
 
     @property
     def raw(self) -> Column:

@@ -208,7 +208,10 @@ def _read_payload(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _parse_jsonl(lines: DataFrame, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Values go through arrays, so each rule is generated once and not per field."""
+    """Variants are tagged once per key; aliases and chains choose among the tags.
+
+    The later rules go through arrays, which keeps the generated code small.
+    """
     kept = lines.columns
     chain_names = [name for chain in fv.TRUTHY_CHAINS.values() for name in chain]
     needed = list(dict.fromkeys([*fv.JSON_FIELD_MAPPING, *chain_names, "attributes"]))
@@ -216,38 +219,46 @@ def _parse_jsonl(lines: DataFrame, mapping: Mapping[str, Sequence[str]]) -> Data
     keys = list(dict.fromkeys(key for name in needed for key in aliases[name]))
     df = _read_payload(lines, keys)
 
-    def resolved(name: str) -> Column:
-        return F.coalesce(*[F.col("_doc").getField(key) for key in aliases[name]])
-
     df = df.select(
         *kept,
         F.col("_doc").isNotNull().alias("_object"),
-        resolved("attributes").alias("_attributes"),
-        F.transform(F.array(*[resolved(name) for name in needed]), JsonValue.tag).alias("_tags"),
+        F.coalesce(*[F.col("_doc").getField(key) for key in aliases["attributes"]]).alias("_attributes"),
+        *[JsonValue.tag(F.col("_doc").getField(key)).alias(f"_tag{at}") for at, key in enumerate(keys)],
     )
 
     def own(name: str) -> Column:
-        return F.get("_tags", F.lit(needed.index(name)))
+        """The first alias that is present, be it null."""
+        return F.coalesce(*[F.col(f"_tag{keys.index(key)}") for key in aliases[name]])
 
     # An absent path is filled from the request line before its chain is read.
     chains = {**fv.TRUTHY_CHAINS, "path": fv.TRUTHY_CHAINS["path"][1:]}
     order = list(chains)
     picks = [first_truthy([own(link) for link in chain]) for chain in chains.values()]
-    df = df.withColumn("_picks", F.array(*picks))
+    singles = [*_TEXT_ONLY, "request", "attributes", "path", "timestamp"]
+    df = df.select(
+        *kept,
+        "_object",
+        "_attributes",
+        *[column.alias(f"_pick_{name}") for name, column in zip(order, picks)],
+        *[own(name).alias(f"_own_{name}") for name in singles],
+    )
 
     def picked(name: str) -> Column:
-        return F.get("_picks", F.lit(order.index(name)))
+        return F.col(f"_pick_{name}")
+
+    def single(name: str) -> Column:
+        return F.col(f"_own_{name}")
 
-    texts = [*[picked(name) for name in _DASHED], own("request")]
+    texts = [*[picked(name) for name in _DASHED], single("request")]
     numbers = [picked(name) for name in (*_WHOLE, "request_time")]
-    only = [own(name) for name in _TEXT_ONLY]
+    only = [single(name) for name in _TEXT_ONLY]
     df = df.select(
         *kept,
         "_object",
         "_attributes",
-        own("attributes").alias("_attributes_tag"),
-        own("path").alias("_path_tag"),
-        own("timestamp").alias("_timestamp_tag"),
+        single("attributes").alias("_attributes_tag"),
+        single("path").alias("_path_tag"),
+        single("timestamp").alias("_timestamp_tag"),
         picked("path").alias("_path_pick"),
         picked("timestamp").alias("_timestamp_pick"),
         F.transform(F.array(*texts), lambda tag: JsonValue(tag).as_text).alias("_texts"),
