@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import automata, quality
 from .common import table
 from .packing import pack_documents
 
@@ -30,3 +30,25 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op7_quality_rules"] = quality.SQL
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return automata.remove_repeated_words(table(spark, folder, "documents")).drop("text")
+
+
+ORACLES["op5_substring_dedup"] = """
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS run
+         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM words)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM words),
+kept AS (
+  SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.i) AS text, count(*) AS n
+  FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.i = each.i WHERE gone.i IS NULL GROUP BY each.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
