@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, quality
+from . import automata, quality, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -52,3 +52,26 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_array.remove_repeated_bytes(table(spark, folder, "documents")).drop("text")
+
+
+ORACLES["op10_suffix_array_dedup"] = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+runs AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS run FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM bytes)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY run) AS c FROM runs) WHERE c > 1),
+edges AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM twice),
+grouped AS (SELECT doc_id, i, sum(CASE WHEN prev IS NULL OR i > prev + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM edges),
+spans AS (SELECT doc_id, g, min(i) AS low, max(i) + 200 AS high FROM grouped GROUP BY doc_id, g),
+parts AS (
+  SELECT doc_id, low AS stop, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS start FROM spans
+  UNION ALL SELECT b.doc_id, b.n, coalesce(max(s.high), 0) FROM bytes b LEFT JOIN spans s USING (doc_id) GROUP BY b.doc_id, b.n),
+kept AS (
+  SELECT p.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS h, count(*) - 1 AS n_spans
+  FROM parts p JOIN bytes USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - length(kept.h) // 2)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM bytes JOIN kept USING (doc_id)
+"""
