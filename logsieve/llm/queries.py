@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, quality, suffix_array
+from . import automata, html_text, quality, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -75,3 +75,8 @@ kept AS (
 SELECT doc_id, n::BIGINT AS n_bytes, (n - length(kept.h) // 2)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
 FROM bytes JOIN kept USING (doc_id)
 """
+
+
+@query
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, folder, "pages"))
