@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, html_text, quality, suffix_array
+from . import automata, html_text, language, quality, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -80,3 +80,13 @@ FROM bytes JOIN kept USING (doc_id)
 @query
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_pages(table(spark, folder, "pages"))
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
