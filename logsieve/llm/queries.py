@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, html_text, language, quality, sharding, suffix_array
+from . import automata, decontaminate, html_text, language, quality, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -90,3 +90,8 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
