@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, decontaminate, html_text, language, quality, sharding, suffix_array
+from . import automata, decontaminate, fuzzy_lines, html_text, language, quality, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -95,3 +95,8 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_lines.line_report(table(spark, folder, "documents"))
