@@ -47,33 +47,71 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Marks that can be cut off the end of a word: between an ASCII letter and these the vocabulary always splits.
+END_MARKS = b".,;:!?#$%&*|)\""
+A, Z = b"az"
+
+
 class WordTokenizer:
     """Token ids of whole texts, one word at a time, with a bounded memory of words.
 
-    The vocabulary never joins tokens over white space, so a text's ids are the
-    ids of its words in order.
+    The vocabulary never joins tokens over white space and ignores case, so a
+    text's ids are the ids of its lower-cased words in order. Texts with a
+    special token's opening mark keep their case, as those tokens do not ignore it.
+    Words are remembered in two generations: when the young one is full it
+    becomes the old one, from which words in use are taken over.
     """
 
     def __init__(self, path: str, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self._model, self._known, self._limit = Tokenizer.from_file(path), {}, limit
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self._model.encode_batch([word.decode() for word in words], add_special_tokens=False)
-        return {word: np.array(one.ids, "<u4").tobytes() for word, one in zip(words, found)}
+        self._model, self._young, self._old, self._limit = Tokenizer.from_file(path), {}, {}, limit
+
+    def _encode(self, words: list[bytes]) -> None:
+        found = self._model.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
+        self._young.update((word, np.array(one.ids, "<u4").tobytes()) for word, one in zip(words, found))
+
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Takes words over from the old generation; gives those that are unknown."""
+        young, old, unknown = self._young, self._old, []
+        for word in words:
+            if word not in young:
+                ids = old.get(word)
+                if ids is None:
+                    unknown.append(word)
+                else:
+                    young[word] = ids
+        return unknown
+
+    def _learn(self, words: set[bytes]) -> None:
+        split, needed = {}, set()
+        for word in self._recall(words):
+            core = word.rstrip(END_MARKS)
+            if core != word and core and A <= core[-1] <= Z and b"<|" not in word:
+                split[word] = core, word[len(core) :]
+                needed.update(split[word])
+            else:
+                needed.add(word)
+        if needed:
+            self._encode(self._recall(needed))
+        young = self._young
+        for word, (core, tail) in split.items():
+            young[word] = young[core] + young[tail]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [text.encode().split() for text in texts]
-        known = self._known
-        new = {word for words in split for word in words if word not in known}
-        if new:
-            if len(known) + len(new) > self._limit:
-                known.clear()
-                new = {word for words in split for word in words}
-            known.update(self._learn(list(new)))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split, words = [], set()
+        for text in texts:
+            raw = text.encode()
+            split.append((raw if b"<|" in raw else raw.lower()).split())
+            words.update(split[-1])
+        if len(self._young) + len(words) > self._limit:
+            self._old, self._young = self._young, {}
+        words.difference_update(self._young)
+        if words:
+            self._learn(words)
+        ids = self._young.__getitem__
+        return [b"".join(map(ids, run)) for run in split]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
