@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, decontaminate, fuzzy_lines, html_text, language, quality, sharding, suffix_array
+from . import automata, decontaminate, fuzzy_lines, html_text, language, minhash, quality, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -100,3 +100,29 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_lines.line_report(table(spark, folder, "documents"))
+
+
+@query
+def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("n_links")
+
+
+ORACLES["op4_minhash_near_dedup"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM words WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * pairs.n >= 75 * (p.n + q.n - pairs.n)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, s.b FROM reach r JOIN sides s ON s.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM words w LEFT JOIN sizes USING (doc_id) JOIN least ON least.doc_id = w.doc_id
+"""
