@@ -102,7 +102,7 @@ def _key(column: str) -> Column:
 def sketches(measures: DataFrame) -> DataFrame:
     """lang_key, source_key, measure, b, n: one mergeable sketch for each group and measure."""
     values = F.array(*[
-        F.struct(F.lit(name).alias("measure"), F.expr(f"({SCALE} * {top}) div {below}").alias("v"))
+        F.struct(F.lit(name).alias("measure"), F.expr(f"({SCALE} * {top}) div nullif({below}, 0)").alias("v"))
         for name, (top, below, _, _) in MEASURES.items()
     ])
     rows = measures.select(_key("lang").alias("lang_key"), _key("source").alias("source_key"), F.explode(values).alias("m"))
@@ -158,7 +158,7 @@ def judged(measures: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     unusual = F.lit(False)
     for name, (top, below, both, _) in MEASURES.items():
-        value = F.expr(f"({SCALE} * {top}) div {below}")
+        value = F.expr(f"({SCALE} * {top}) div nullif({below}, 0)")
         unusual = unusual | F.coalesce(value > F.col(f"high_{name}"), F.lit(False))
         if both:
             unusual = unusual | F.coalesce(value < F.col(f"low_{name}"), F.lit(False))
