@@ -300,6 +300,4 @@ ATTACK_CHOICES = {
     "bruteforce_401": (0, [401]),
 }
 
-TEMPLATE_HEAD = 5000
 TEMPLATE_SAMPLE = 100
-CLEAN_HEAD = 50000

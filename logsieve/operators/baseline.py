@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import event_template
+from ..scratch import written
 from .lookup import ROW_OVERHEAD, lookup
 
 MODEL_VERSION = "baseline"
@@ -49,8 +50,11 @@ class BaselineDetector:
 
     @classmethod
     def train(cls, events: DataFrame) -> BaselineDetector:
-        counts = template_counts(events)
-        return cls(counts, count_stats(counts))
+        """Counts are stored once and their size is known, so that every use joins them the cheap way."""
+        counts = written(template_counts(events), "counts")
+        stats = count_stats(counts)
+        row = stats.first()
+        return cls(counts, stats, row["template_bytes"] + ROW_OVERHEAD * row["templates"])
 
     def template_scores(self) -> DataFrame:
         """(template, cnt, template_score); the highest count is a one-row side."""

@@ -20,7 +20,6 @@ from .baseline import with_prediction
 from .features import extract_features, feature_columns, feature_moments
 
 MODEL_VERSION = "iforest"
-CANDIDATES = 200_000
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, size int, path_length double"
 _EULER = 0.5772156649015329
 
@@ -42,15 +41,16 @@ def uniform_hash(*columns: Column) -> Column:
 def tree_samples(rows: DataFrame, n: int, trees: int, sample_size: int, seed: int) -> DataFrame:
     """(tree, draw, features): ``min(sample_size, n)`` rows per tree, without replacement.
 
-    Only about 1.5 times the rows each tree needs are ever exploded. A large
-    input is first thinned to candidates by the hash of the row id; each tree's
-    sample stays a uniform one.
+    Only about 1.5 times the rows each tree needs are ever exploded. One hash of
+    the row id tells whether any tree may draw the row at all; only then are the
+    draws of the trees made, each as likely as if it had been made alone. The
+    same rule holds for every number of rows.
     """
     size = min(sample_size, n)
-    if n > CANDIDATES:
-        rows = rows.filter(uniform_hash(F.col("_row"), F.lit(seed)) < CANDIDATES / n)
-        n = CANDIDATES
-    chance = min(1.0, 1.5 * size / n + 64.0 / n)
+    alone = min(1.0, (1.5 * size + 64.0) / n)
+    some = 1.0 - (1.0 - alone) ** trees
+    rows = rows.filter(uniform_hash(F.col("_row"), F.lit(seed)) < some)
+    chance = alone / some
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda tree: F.struct(
@@ -104,14 +104,27 @@ def grow_trees(samples: DataFrame, sample_size: int, seed: int) -> DataFrame:
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def content_ids(events: DataFrame) -> DataFrame:
+    """Adds ``_row``: a hash of the row's content, and of its number among equal rows.
+
+    The same rows get the same ids however they are partitioned. Equal rows are
+    interchangeable, so it does not matter which of them gets which number.
+    """
+    plain = [F.col(f"`{name}`") for name, kind in events.dtypes if kind != "variant"]
+    variants = [F.to_json(f"`{name}`") for name, kind in events.dtypes if kind == "variant"]
+    keyed = events.withColumn("_content", F.xxhash64(*plain, *variants))
+    number = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+    return keyed.withColumn("_row", F.xxhash64("_content", number)).drop("_content")
+
+
 def training_features(events: DataFrame, id_column: str | None = None) -> DataFrame:
     """Written feature rows with a row id ``_row``.
 
     Training reads the features three times (moments, samples, scores); the raw
     events are parsed and featurized once.
     """
-    row = F.monotonically_increasing_id() if id_column is None else F.col(id_column)
-    return written(extract_features(events.withColumn("_row", row), "_row"), "features")
+    keyed = content_ids(events) if id_column is None else events.withColumn("_row", F.col(id_column))
+    return written(extract_features(keyed, "_row"), "features")
 
 
 class _Forest:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 
+BROADCAST_TEMPLATES = 100_000
 Picker = Callable[[Column, int, Column | int], Column]
 
 
@@ -32,11 +33,11 @@ def sample_templates(
     rows: DataFrame,
     order_by: str,
     n: int = fv.TEMPLATE_SAMPLE,
-    head: int = fv.TEMPLATE_HEAD,
+    head: int | None = None,
     pick: Picker = hash_pick,
 ) -> DataFrame:
-    """``n`` of the first ``head`` rows in shuffled order, numbered from 0 (``template_no``)."""
-    first = rows.orderBy(order_by).limit(head)
+    """``n`` rows in shuffled order, numbered from 0 (``template_no``); with ``head`` of the first so many rows only."""
+    first = rows if head is None else rows.orderBy(order_by).limit(head)
     mixed = first.withColumn("_mix", pick(F.col(order_by), 11, 1_000_003))
     chosen = mixed.orderBy("_mix", order_by).limit(n)
     # At most n rows are numbered.
@@ -61,8 +62,8 @@ def inject_attacks(
     """One attack row per row of ``slots``: a template row with a payload put over it.
 
     Category, template, payload, agent and status are chosen by the slot's key, so
-    a rerun or a retried task makes the same row. Payloads (49) and templates (at
-    most the sample size) are fixed-size broadcast sides.
+    a rerun or a retried task makes the same row. The payloads (49) are a fixed-size
+    broadcast side; templates are one up to a checked number.
     """
     spark = slots.sparkSession
     payloads = payload_table(spark)
@@ -79,9 +80,9 @@ def inject_attacks(
     )
     # Key columns of the template rows give way to the slot's own key.
     base = templates.drop(key)
-    rows = chosen.join(F.broadcast(payloads), ["category_no", "url_no"]).join(
-        F.broadcast(base), "template_no"
-    )
+    if templates.count() <= BROADCAST_TEMPLATES:
+        base = F.broadcast(base)
+    rows = chosen.join(F.broadcast(payloads), ["category_no", "url_no"]).join(base, "template_no")
     choices = [fv.ATTACK_CHOICES[name] for name in categories]
     percents = F.array(*[F.lit(percent) for percent, _ in choices])
     statuses = F.array(*[F.array(*[F.lit(code) for code in codes]) for _, codes in choices])
@@ -100,10 +101,10 @@ def labelled_mix(
     clean: DataFrame,
     attacks: DataFrame,
     key: str,
-    clean_limit: int | None = fv.CLEAN_HEAD,
+    clean_limit: int | None = None,
     pick: Picker = hash_pick,
 ) -> DataFrame:
-    """Clean rows (the first ``clean_limit`` by key, or all) and attacks, shuffled.
+    """Clean rows (all, or the first ``clean_limit`` by key if the caller says so) and attacks, shuffled.
 
     ``mix_order`` is the shuffled position key; sort by it when order matters.
     """

@@ -74,12 +74,12 @@ def event_counters(cube: DataFrame, *by: str) -> DataFrame:
     return totals.withColumn("anomaly_rate", rate)
 
 
-def running_summary(results: DataFrame, ingest_ts: str) -> DataFrame:
-    """One row: total events, anomalies, rate and the last ingest time."""
-    totals = results.agg(
-        F.count("*").alias("total_events"),
-        F.count_if(F.col("is_anomaly")).alias("anomalies"),
-        F.max(ingest_ts).alias("last_ingest"),
+def running_summary(batches: DataFrame) -> DataFrame:
+    """One row from the batch table: total events, anomalies, rate and the time of the last ingest."""
+    totals = batches.agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
+        F.coalesce(F.sum("anomalies"), F.lit(0)).alias("anomalies"),
+        F.max("ingest_ts").alias("last_ingest"),
     )
     rate = F.when(F.col("total_events") > 0, F.col("anomalies") / F.col("total_events")).otherwise(0.0)
     return totals.withColumn("anomaly_rate", rate)
@@ -92,9 +92,9 @@ def ingest_summary(results: DataFrame, model_version: str) -> DataFrame:
     ).withColumn("model_version", F.lit(model_version))
 
 
-def last_ingest_time(results: DataFrame, ingest_ts: str) -> DataFrame:
+def last_ingest_time(batches: DataFrame) -> DataFrame:
     """Unix time of the last ingest; null while nothing was ingested."""
-    return results.agg(F.unix_seconds(F.max(ingest_ts)).alias("last_ingest_unix"))
+    return batches.agg(F.unix_seconds(F.max("ingest_ts")).alias("last_ingest_unix"))
 
 
 def latest_batch_rate(batches: DataFrame) -> DataFrame:
@@ -241,9 +241,10 @@ def severity(metric: str, value: Column) -> Column:
     return chain.otherwise(base)
 
 
-def metric_severity(cube: DataFrame) -> DataFrame:
-    """Levels of the headline numbers and of each technique count."""
-    head = event_counters(cube)
+def metric_severity(cube: DataFrame, batches: DataFrame) -> DataFrame:
+    """Levels of the headline numbers and of each technique count; the rate is that of the newest batch."""
+    newest = latest_batch_rate(batches).select("anomaly_rate")
+    head = event_counters(cube).drop("anomaly_rate").join(F.broadcast(newest))
     rows = [
         F.struct(
             F.lit(metric).alias("metric"),
@@ -273,8 +274,25 @@ def metric_severity(cube: DataFrame) -> DataFrame:
     return headline.unionByName(techniques).unionByName(quantiles)
 
 
-def metric_table(cube: DataFrame) -> DataFrame:
-    """All series in one long table: metric, labels, le, value."""
+def duration_totals(batches: DataFrame, seconds: str = "duration_seconds") -> DataFrame:
+    """Sum and number of the batch durations."""
+    return batches.agg(F.coalesce(F.sum(seconds), F.lit(0.0)).alias("seconds"), F.count(seconds).alias("n"))
+
+
+def metric_table(cube: DataFrame, batches: DataFrame, environment: str = "dev") -> DataFrame:
+    """All series in one long table: metric, labels, le, value.
+
+    ``batches`` has batch_id, anomaly_rate, ingest_ts and duration_seconds of every ingested
+    batch: the rate gauge and the time of the last ingest are those of the newest one.
+    """
+    named = F.lit(environment).alias("environment")
+    newest = batches.agg(
+        F.max_by("anomaly_rate", "batch_id").alias("anomaly_rate"),
+        F.unix_seconds(F.max_by("ingest_ts", "batch_id")).alias("last_ingest"),
+    ).withColumn("environment", named)
+    durations = duration_histogram(batches).withColumn("environment", named)
+    spent = duration_totals(batches).withColumn("environment", named)
+    scores = cube.groupBy("environment").agg(F.sum("score_sum").alias("score_sum"), F.sum("n").alias("score_count"))
 
     def series(df: DataFrame, metric: str, value: str, labels: Sequence[str] = (), le: str | None = None) -> DataFrame:
         pairs = [item for name in ("environment", *labels) for item in (F.lit(name), F.col(name))]
@@ -289,7 +307,8 @@ def metric_table(cube: DataFrame) -> DataFrame:
     parts = [
         series(counters, "log_events_total", "events"),
         series(counters, "log_anomalies_total", "anomalies"),
-        series(counters, "log_anomaly_rate", "anomaly_rate"),
+        series(newest, "log_anomaly_rate", "anomaly_rate"),
+        series(newest, "log_last_ingest_timestamp", "last_ingest"),
         series(status_counts(cube, "environment"), "log_http_status_total", "cnt", ["status_class"]),
         series(
             technique_counts(cube, "environment"),
@@ -298,6 +317,11 @@ def metric_table(cube: DataFrame) -> DataFrame:
             ["technique_id", "tactic"],
         ),
         series(score_histogram(cube, "environment"), "log_anomaly_score_bucket", "cumulative", le="le"),
+        series(scores, "log_anomaly_score_sum", "score_sum"),
+        series(scores, "log_anomaly_score_count", "score_count"),
+        series(durations, "log_ingest_duration_seconds_bucket", "cumulative", le="le"),
+        series(spent, "log_ingest_duration_seconds_sum", "seconds"),
+        series(spent, "log_ingest_duration_seconds_count", "n"),
     ]
     table = parts[0]
     for part in parts[1:]:

@@ -448,7 +448,7 @@ def recent_anomaly_list(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def running_summary(spark: SparkSession, folder: str) -> DataFrame:
-    summary = mt.running_summary(predicted(spark, folder), "event_ts")
+    summary = mt.running_summary(ingested_batches(spark, folder))
     last = F.date_format("last_ingest", "yyyy-MM-dd HH:mm:ss").alias("last_ingest")
     return summary.select("total_events", "anomalies", rounded("anomaly_rate").alias("anomaly_rate"), last)
 
@@ -460,7 +460,7 @@ def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def last_ingest_time(spark: SparkSession, folder: str) -> DataFrame:
-    return mt.last_ingest_time(access_log_events(spark, folder), "event_ts")
+    return mt.last_ingest_time(ingested_batches(spark, folder))
 
 
 @report
@@ -468,6 +468,17 @@ def event_counters(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(mt.event_counters(cube(spark, folder), "environment"))
 
 
+def ingested_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch table of a replayed ingest: 500 events a batch, taken in when its last event had
+    come, with a hundredth of its requests' seconds as the time it took."""
+    events = predicted(spark, folder).withColumn("batch_id", F.floor(F.col("event_id") / fv.INGEST_BATCH_SIZE))
+    counted = events.groupBy("batch_id").agg(
+        F.count("*").alias("events"), F.count_if("is_anomaly").alias("anomalies"),
+        F.max("event_ts").alias("ingest_ts"), F.round(F.sum("request_time") / 100, 6).alias("duration_seconds"),
+    )
+    return counted.withColumn("anomaly_rate", F.col("anomalies") / F.col("events"))
+
+
 def batch_rates(spark: SparkSession, folder: str) -> DataFrame:
     batch = F.floor(F.col("event_id") / fv.INGEST_BATCH_SIZE).alias("batch_id")
     return mt.event_counters(mt.metric_cube(predicted(spark, folder), batch), "batch_id")
@@ -516,23 +527,20 @@ def histogram_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def duration_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    """Buckets of the request seconds summed per ingest batch."""
-    events = access_log_events(spark, folder)
-    batch = F.floor(F.col("event_id") / fv.INGEST_BATCH_SIZE).alias("batch_id")
-    seconds = F.round(F.sum("request_time") / 100, 6).alias("duration_seconds")
-    return mt.duration_histogram(events.groupBy(batch).agg(seconds))
+    """Buckets of the batch durations."""
+    return mt.duration_histogram(ingested_batches(spark, folder))
 
 
 @report
 def metric_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return round_all(mt.metric_severity(cube(spark, folder)))
+    return round_all(mt.metric_severity(cube(spark, folder), ingested_batches(spark, folder)))
 
 
 @report
 def metric_series(spark: SparkSession, folder: str) -> DataFrame:
-    table = mt.metric_table(cube(spark, folder))
+    table = mt.metric_table(cube(spark, folder), ingested_batches(spark, folder))
     labels = [F.col("labels")[name].alias(name) for name in ("status_class", "technique_id", "tactic")]
-    return table.select("metric", *labels, "le", rounded("value").alias("value"))
+    return table.select("metric", *labels, "le", rounded("value", 3).alias("value"))
 
 
 def rate_cube(spark: SparkSession, folder: str) -> DataFrame:

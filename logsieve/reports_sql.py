@@ -209,7 +209,7 @@ PARTS = {
     "tmpl": (
         "ev",
         "SELECT *, (row_number() OVER (ORDER BY mix, event_id) - 1)::INTEGER AS template_no FROM "
-        f"(SELECT *, {pick('event_id', 11, 1000003)} AS mix FROM (SELECT * FROM ev ORDER BY event_id LIMIT {fv.TEMPLATE_HEAD})) "
+        f"(SELECT *, {pick('event_id', 11, 1000003)} AS mix FROM ev) "
         f"ORDER BY mix, event_id LIMIT {fv.TEMPLATE_SAMPLE}",
     ),
     "payload": (
@@ -363,6 +363,9 @@ def feature_values() -> str:
 
 
 TOP_TECHNIQUES = f"SELECT technique_id, tactic, cnt FROM tcnt {TOP20}"
+# The rate of the newest batch, and the durations of all batches.
+NEWEST = "(SELECT anomaly_rate AS rate FROM batch ORDER BY batch_id DESC LIMIT 1)"
+DURATIONS = f"(SELECT round(sum(request_time) / 100, 6) AS s FROM log GROUP BY event_id // {fv.INGEST_BATCH_SIZE})"
 TOTALS = "(SELECT count(*) AS events, count_if(is_anomaly) AS anomalies FROM res)"
 
 ORACLES: dict[str, str] = {
@@ -545,22 +548,29 @@ ORACLES: dict[str, str] = {
         f"(SELECT round(sum(request_time) / 100, 6) AS s FROM log GROUP BY event_id // {fv.INGEST_BATCH_SIZE}) GROUP BY le",
     ),
     "metric_severity": query(
-        "res tcnt hist",
+        "res tcnt hist batch",
         f"SELECT 'events_total' AS metric, '' AS label, events::DOUBLE AS value, {severity('events_total', 'events')} AS severity FROM {TOTALS} "
         f"UNION ALL SELECT 'anomalies_total', '', anomalies::DOUBLE, {severity('anomalies_total', 'anomalies')} FROM {TOTALS} "
-        f"UNION ALL SELECT 'anomaly_rate', '', round(anomalies / events::DOUBLE, 6), {severity('anomaly_rate', 'anomalies / events')} FROM {TOTALS} "
+        f"UNION ALL SELECT 'anomaly_rate', '', round(rate, 6), {severity('anomaly_rate', 'rate')} FROM {NEWEST} "
         f"UNION ALL SELECT 'technique_count', technique_id, cnt::DOUBLE, {severity('technique_count', 'cnt')} FROM tcnt "
         f"UNION ALL SELECT 'score_quantile', printf('%.2f', quantile), value, {severity('score_quantile', 'value')} FROM ({quantiles('hist')})",
     ),
     "metric_series": query(
-        "res tcnt hist",
+        "log res tcnt hist batch",
         "SELECT 'log_events_total' AS metric, NULL::VARCHAR AS status_class, NULL::VARCHAR AS technique_id, NULL::VARCHAR AS tactic, "
         f"NULL::DOUBLE AS le, events::DOUBLE AS value FROM {TOTALS} "
         f"UNION ALL SELECT 'log_anomalies_total', NULL, NULL, NULL, NULL, anomalies::DOUBLE FROM {TOTALS} "
-        f"UNION ALL SELECT 'log_anomaly_rate', NULL, NULL, NULL, NULL, round(anomalies / events::DOUBLE, 6) FROM {TOTALS} "
+        f"UNION ALL SELECT 'log_anomaly_rate', NULL, NULL, NULL, NULL, round(rate, 3) FROM {NEWEST} "
+        "UNION ALL SELECT 'log_last_ingest_timestamp', NULL, NULL, NULL, NULL, max(epoch_us(event_ts) // 1000000)::DOUBLE FROM res "
         "UNION ALL SELECT 'log_http_status_total', (status // 100)::VARCHAR || 'xx', NULL, NULL, NULL, count(*)::DOUBLE FROM res GROUP BY 2 "
         "UNION ALL SELECT 'log_mitre_technique_total', NULL, technique_id, tactic, NULL, cnt::DOUBLE FROM tcnt "
-        "UNION ALL SELECT 'log_anomaly_score_bucket', NULL, NULL, NULL, le, cumulative::DOUBLE FROM hist",
+        "UNION ALL SELECT 'log_anomaly_score_bucket', NULL, NULL, NULL, le, cumulative::DOUBLE FROM hist "
+        "UNION ALL SELECT 'log_anomaly_score_sum', NULL, NULL, NULL, NULL, round(sum(score), 3) FROM res "
+        "UNION ALL SELECT 'log_anomaly_score_count', NULL, NULL, NULL, NULL, count(*)::DOUBLE FROM res "
+        "UNION ALL SELECT 'log_ingest_duration_seconds_bucket', NULL, NULL, NULL, le, (count(*) FILTER (s <= le))::DOUBLE FROM "
+        f"(SELECT unnest({fv.DURATION_BOUNDS}::DOUBLE[] || ['inf'::DOUBLE]) AS le), {DURATIONS} GROUP BY le "
+        f"UNION ALL SELECT 'log_ingest_duration_seconds_sum', NULL, NULL, NULL, NULL, round(sum(s), 3) FROM {DURATIONS} "
+        f"UNION ALL SELECT 'log_ingest_duration_seconds_count', NULL, NULL, NULL, NULL, count(s)::DOUBLE FROM {DURATIONS}",
     ),
     "event_rate_5m": query(
         "secs",

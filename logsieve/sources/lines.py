@@ -83,5 +83,6 @@ def labelled_lines(lines: DataFrame) -> DataFrame:
 
     The label stays on its own row whether or not the row parses later.
     """
-    label = F.get_json_object("value", "$._label")
+    # Of repeated keys the last one counts, as in the parser.
+    label = F.from_json("value", "_label string")["_label"]
     return lines.withColumn("label", F.coalesce(label, F.lit("clean")))
