@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import ingest_summary
 from ..operators.parse import parse_access_logs
 from ..operators.rules import classify_techniques
 from ..options import JobOptions
+from ..scratch import written
 from ..sinks.anomalies import append_anomalies
 from ..sources.lines import existing_files, parsed_files
 from .registry import Detector, ModelRegistry
@@ -52,15 +54,27 @@ def ingest_lines(
 def file_summary(scored: DataFrame) -> DataFrame:
     """Received, anomalies and skipped per file; the row without a file is the total."""
     valid = F.col("reject_reason").isNull()
-    return scored.rollup("file").agg(
+    by_file = scored.groupBy("file").agg(
         F.count_if(valid).alias("received"),
         F.count_if(valid & F.col("is_anomaly")).alias("anomalies"),
         F.count_if(~valid).alias("skipped_lines"),
     )
+    # Only one row per file is rolled up.
+    return by_file.rollup("file").agg(*[F.sum(name).alias(name) for name in ("received", "anomalies", "skipped_lines")])
+
+
+def ingest_posted(
+    lines: DataFrame, detector: Detector, metadata: Row, options: JobOptions, anomaly_path: str, run_id: str | None = None
+) -> DataFrame:
+    """Score a posted batch, store its anomalies and return received, anomalies and model version."""
+    scored = written(ingest_lines(lines, detector, resolve_threshold(metadata, options), options), "posted")
+    append_anomalies(scored, anomaly_path, run_id=run_id)
+    return ingest_summary(scored, metadata["version"])
 
 
 def ingest_files(
-    spark: SparkSession, options: JobOptions, registry: ModelRegistry, anomaly_path: str | None = None
+    spark: SparkSession, options: JobOptions, registry: ModelRegistry, anomaly_path: str | None = None,
+    run_id: str | None = None,
 ) -> DataFrame | None:
     """Tolerant ingest of the configured paths; returns the summary per file and in total."""
     files = existing_files(spark, options.input_paths)
@@ -69,7 +83,9 @@ def ingest_files(
     detector, metadata = registry.load_latest()
     threshold = resolve_threshold(metadata, options)
     parsed = parsed_files(spark, files, options.source_format, **parse_options(options))
+    # Stored once, so that every line is parsed and scored once for both uses.
+    scored = written(detector.predict(parsed, threshold), "ingest")
     if anomaly_path is not None:
-        events = parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-        append_anomalies(detect(events, detector, threshold), anomaly_path, "file")
-    return file_summary(detector.predict(parsed, threshold))
+        events = scored.filter(F.col("reject_reason").isNull() & F.col("is_anomaly")).drop("reject_reason")
+        append_anomalies(classify_techniques(events, F.col("is_anomaly")), anomaly_path, "file", run_id=run_id)
+    return file_summary(scored)

@@ -29,13 +29,14 @@ from .operators.parse import (
 from .operators.ranking import running_totals
 from .operators.rules import classify_techniques, technique_hits, with_catalog
 from .options import JobOptions
-from .plans.detect import detect, file_summary
-from .plans.train import calibration, fit_forest
+from .plans.detect import detect, file_summary, ingest_files
+from .plans.registry import ModelRegistry
+from .plans.train import calibration, fit_forest, train_model
 from .scratch import new_path
-from .sinks.anomalies import anomaly_rows, recent_anomalies
+from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies
 from .sinks.export import json_lines, plain_lines, write_lines
 from .sources.access_log import access_log_events, access_log_view, as_events
-from .sources.lines import line_batches, read_lines, stream_lines
+from .sources.lines import count_lines, line_batches, read_lines, stream_lines, strict_events
 from .streaming import rates
 from .streaming.ingest import start_ingest
 
@@ -226,6 +227,41 @@ def line_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy("file").agg(F.count("*").alias("lines"))
 
 
+def line_files(spark: SparkSession, lines: DataFrame) -> str:
+    """A folder of text files with the given lines."""
+    path = new_path(spark, "lines")
+    write_lines(lines, path)
+    return path
+
+
+@report
+def strict_file_scan(spark: SparkSession, folder: str) -> DataFrame:
+    events = strict_events(spark, line_files(spark, exported_plain(spark, folder)), "plain")
+    return events.groupBy("method", "status").agg(F.count("*").alias("cnt"))
+
+
+@report
+def file_line_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = line_files(spark, broken_plain(spark, folder))
+    return spark.range(1).select(F.lit(count_lines(spark, path)).cast("long").alias("lines"))
+
+
+@report
+def multi_file_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """A tolerant ingest of real files with a registered model; a missing path and a folder are passed over."""
+    registry = ModelRegistry(spark, new_path(spark, "registry"))
+    path = line_files(spark, broken_plain(spark, folder))
+    events, _ = split_rejects(parse_access_logs(read_lines(spark, path), "plain", mode="keep"))
+    train_model(events, "baseline", registry)
+    files = [row[0] for row in read_lines(spark, path).select("file").distinct().collect()]  # one name per file
+    options = JobOptions(model_type="baseline", source_format="plain", input_paths=[*files, f"{path}/none", path])
+    anomalies = new_path(spark, "anomalies")
+    for _ in range(2):  # the same run twice stores its rows once
+        summary = ingest_files(spark, options, registry, anomalies, run_id="one")
+    stored = read_anomalies(spark, anomalies).agg(F.count("*").alias("stored"))
+    return summary.filter("file is null").drop("file").join(F.broadcast(stored))
+
+
 @report
 def line_batch_sizes(spark: SparkSession, folder: str) -> DataFrame:
     lines = exported_plain(spark, folder, "event_id")

@@ -725,3 +725,13 @@ ORACLES["stream_ingest"] = query(
     "SELECT count(*) AS received, count_if(is_anomaly)::BIGINT AS anomalies, 0::BIGINT AS skipped, "
     "count_if(is_anomaly)::BIGINT AS stored FROM pres",
 )
+ORACLES["strict_file_scan"] = query("log", "SELECT method, status, count(*) AS cnt FROM log GROUP BY 1, 2")
+ORACLES["file_line_counts"] = query("broken", "SELECT count(*) AS lines FROM broken")
+ORACLES["multi_file_ingest"] = query(
+    "broken gcnt",
+    "SELECT count(g.event_id) AS received, count_if(score >= threshold)::BIGINT AS anomalies, "
+    "count(*) - count(g.event_id) AS skipped_lines, count_if(score >= threshold)::BIGINT AS stored "
+    "FROM broken b LEFT JOIN (SELECT event_id, 1::DOUBLE - c.cnt::DOUBLE / (SELECT max(cnt) FROM gcnt) AS score "
+    "FROM good JOIN gcnt c USING (template)) g USING (event_id), "
+    "(SELECT quantile_cont(1::DOUBLE - c.cnt::DOUBLE / (SELECT max(cnt) FROM gcnt), 0.95) AS threshold FROM good JOIN gcnt c USING (template))",
+)

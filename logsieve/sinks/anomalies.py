@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .. import fixed_values as fv
 from ..functions.times import iso_text
 from ..schema import ANOMALY_COLUMNS
 
+FILES_PER_DATE = 8
+
 
 def anomaly_rows(results: DataFrame, *kept: str) -> DataFrame:
     """Anomalies in the stored layout; an empty technique list is stored as null."""
@@ -21,17 +25,43 @@ def anomaly_rows(results: DataFrame, *kept: str) -> DataFrame:
     return flat.select(*kept, *ANOMALY_COLUMNS)
 
 
-def append_anomalies(results: DataFrame, path: str, *order: str) -> None:
-    """Append anomalies, one folder per event date; ``order`` columns keep ingest order."""
-    dated = results.withColumn("event_date", F.to_date("event_local"))
-    rows = anomaly_rows(dated, "event_date", "event_ts", *order)
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+def append_anomalies(results: DataFrame, path: str, *order: str, run_id: str | None = None) -> None:
+    """Store the anomalies of a run, one folder per event date; ``order`` columns keep ingest order.
+
+    A job that is repeated with the same ``run_id`` replaces what it stored before. The
+    rows of a date are dealt over a few tasks, so a run leaves a few files per date.
+    """
+    run = run_id or uuid.uuid4().hex
+    dated = results.withColumns({"event_date": F.to_date("event_local"), "run_id": F.lit(run)})
+    rows = anomaly_rows(dated, "run_id", "event_date", "event_ts", *order)
+    spread = F.pmod(F.xxhash64("event_ts", "path"), F.lit(FILES_PER_DATE))
+    writer = rows.repartition("event_date", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id", "event_date").parquet(path)
 
 
 def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
+    """The stored anomalies of all runs."""
     return spark.read.parquet(path)
 
 
+def recent_stored(spark: SparkSession, path: str, newest_first: list[str], retained: int = fv.MAX_STORED_ANOMALIES, **limits: object) -> DataFrame:
+    """``recent_anomalies`` of a stored table, reading only the newest dates that hold enough rows.
+
+    ``newest_first`` begins with the event time, which the dates are cut from.
+    """
+    stored = read_anomalies(spark, path)
+    # One row per date; the count comes from the files' footers.
+    dates = stored.groupBy("event_date").count().orderBy(F.desc_nulls_last("event_date"))
+    upto, first = 0, None
+    for row in dates.toLocalIterator():
+        upto, first = upto + row["count"], row["event_date"]
+        if upto >= retained:
+            break
+    # A local date can lie a day beside the date of the event time.
+    newest = stored if first is None else stored.filter(F.col("event_date") >= F.date_sub(F.lit(first), 1))
+    return recent_anomalies(newest, newest_first, retained=retained, **limits)
+
+
 def recent_anomalies(
     anomalies: DataFrame,
     newest_first: list[str],

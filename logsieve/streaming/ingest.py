@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +16,7 @@ from ..sinks.anomalies import anomaly_rows
 
 BATCH_SCHEMA = (
     "batch_id bigint, received bigint, anomalies bigint, skipped bigint, anomaly_rate double, "
-    "ingest_ts timestamp"
+    "duration_seconds double, ingest_ts timestamp"
 )
 
 
@@ -42,7 +44,7 @@ def start_ingest(
     parsed = parse_access_logs(lines, options.source_format, mode="keep", **parse_options(options))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, started = batch.sparkSession, time.monotonic()
         valid = F.col("reject_reason").isNull()
         scored = detect(batch, detector, threshold)
         seen = Observation()
@@ -60,8 +62,8 @@ def start_ingest(
         received, anomalies = counts["received"], counts["anomalies"]
         rate = anomalies / received if received else 0.0
         row = spark.createDataFrame(
-            [(batch_id, received, anomalies, counts["skipped"], rate)],
-            "batch_id bigint, received bigint, anomalies bigint, skipped bigint, anomaly_rate double",
+            [(batch_id, received, anomalies, counts["skipped"], rate, time.monotonic() - started)],
+            BATCH_SCHEMA.removesuffix(", ingest_ts timestamp"),
         ).withColumn("ingest_ts", F.current_timestamp())
         _replace_batch(row.coalesce(1), batch_path)
 
