@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def anchors(docs: DataFrame, hashes_of: Callable[[bytes], np.ndarray], width: in
 
 def live_anchors(found: DataFrame) -> DataFrame:
     """d and its anchors that occur at least twice: position, home and number of salts of the home."""
-    twice = found.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("home")).filter("n > 1")
+    # Stored, as it is read twice and made from all texts.
+    twice = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("home")).filter("n > 1"), "live-anchors")
     load = twice.groupBy("home").agg(F.ceil(F.sum("n") / HOME_ANCHORS).cast("int").alias("salts"))
     homes = twice.join(load, "home").select("h", "home", "salts")
     hits = found.join(homes, "h").groupBy("d")
@@ -97,6 +99,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return text_rows(docs).select(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("d"), "text")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """d and the compressed text: half of what the shuffle's own codec makes of short texts."""
+    schema = pa.schema([("d", pa.int64()), ("packed", pa.binary())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=5)
+        for ids, texts in batches(source):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([codec.compress(t.encode()) for t in texts], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "d long, packed binary")
+
+
 def spans(
     docs: DataFrame, live: DataFrame, split: Callable[[bytes], tuple[int, Callable[[int, int], bytes]]], length: int, inner: int,
 ) -> DataFrame:
@@ -104,12 +118,13 @@ def spans(
     before = length - inner
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
         for batch in source:
             for at in range(0, batch.num_rows, 200):
                 rows = []
                 part = batch.slice(at, 200)
                 for d, text, hits in zip(*(part.column(i) for i in range(3))):
-                    d, raw = d.as_py(), text.as_py().encode()
+                    d, raw = d.as_py(), codec.decompress(text.as_py())
                     size, cut = split(raw)
                     key = row_key(raw)
                     items = hits.values
@@ -132,7 +147,7 @@ def spans(
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SPANS)], schema=SPANS)
 
-    return docs.join(live, "d").select("d", "text", "hits").mapInArrow(run, SPANS_SQL)
+    return packed(docs).join(live, "d").select("d", "packed", "hits").mapInArrow(run, SPANS_SQL)
 
 
 def by_home(addressed: DataFrame, handle: Callable[[Iterator[list[tuple]]], Iterator[tuple]]) -> DataFrame:
@@ -187,12 +202,13 @@ def cut_rows(docs: DataFrame, runs: DataFrame, cut: Callable[[bytes, list[tuple[
     """Every row of the documents, cut by its runs. Documents are read again rather than carried along."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
         for batch in source:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
                 for d, text, found in zip(*(part.column(i) for i in range(3))):
-                    raw, d = text.as_py().encode(), d.as_py()
+                    raw, d = codec.decompress(text.as_py()), d.as_py()
                     key, spans_found = row_key(raw), []
                     if found.is_valid:
                         for one in found.as_py():
@@ -202,7 +218,7 @@ def cut_rows(docs: DataFrame, runs: DataFrame, cut: Callable[[bytes, list[tuple[
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     of_doc = runs.groupBy("d").agg(F.collect_list(F.struct("key", "runs")).alias("found"))
-    return docs.join(of_doc, "d", "left").select("d", "text", "found").mapInArrow(run, kinds)
+    return packed(docs).join(of_doc, "d", "left").select("d", "packed", "found").mapInArrow(run, kinds)
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
