@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from helpers import event_frame
 from logsieve.operators import lookup as lk
 from logsieve.operators.baseline import BaselineDetector, unseen_templates
-from logsieve.operators.iforest import ForestDetector, average_path, training_features
+from logsieve.operators.iforest import ForestDetector, average_path, training_features, tree_samples
+from logsieve.operators.parse import parse_access_logs
 from logsieve.operators.ranking import grid_index, quantile, running_totals
+from logsieve.operators.rules import classify_techniques
 from logsieve.options import JobOptions
-from logsieve.plans.detect import detect, ingest_files, resolve_threshold
+from logsieve.plans.detect import detect, ingest_files, ingest_posted, resolve_threshold
 from logsieve.plans.registry import ModelRegistry, detector_class
 from logsieve.plans.train import bootstrap_model, calibration, train_model
-from logsieve.sinks.anomalies import append_anomalies, read_anomalies, recent_anomalies
+from logsieve.sinks.anomalies import append_anomalies, read_anomalies, recent_anomalies, recent_stored
 from logsieve.sources.access_log import access_log_events
+from logsieve.sources.lines import labelled_lines, posted_lines
 
 
 def traffic(spark):
@@ -190,3 +193,54 @@ def test_file_ingest_and_bootstrap(spark, tmp_path):
     row = read_anomalies(spark, str(tmp_path / "anomalies")).first()
     assert row["timestamp"] == "2026-03-10T10:00:00+00:00"
     assert {t["technique_id"] for t in row["mitre_techniques"]} >= {"T1190", "T1592", "T1110"}
+
+
+def test_runs_replace_themselves_and_recent_reads_newest_dates(spark, folder, tmp_path):
+    events = access_log_events(spark, folder)
+    results = BaselineDetector.train(events).predict(events, 0.9)
+    results = classify_techniques(results, F.col("is_anomaly"))
+    path = str(tmp_path / "anomalies")
+    for run in ("a", "a", "b"):
+        append_anomalies(results, path, "event_id", run_id=run)
+    stored = read_anomalies(spark, path)
+    flagged = results.filter("is_anomaly").count()
+    assert stored.groupBy("run_id").count().collect() and stored.count() == 2 * flagged
+    order = ["event_ts", "event_id", "run_id"]
+    newest = [tuple(r) for r in recent_stored(spark, path, order, retained=30, limit=10).select(order).collect()]
+    assert newest == [tuple(r) for r in recent_anomalies(stored, order, limit=10, retained=30).select(order).collect()]
+
+
+def test_posted_lines_are_stored_and_summed_up(spark, tmp_path):
+    lines = ['{"timestamp":"2026-01-05T07:00:0%dZ","method":"GET","path":"/shelf","status":200}' % i for i in range(5)]
+    odd = '{"timestamp":"2026-01-05T07:01:00Z","method":"GET","path":"/never/../seen","status":404}'
+    registry = ModelRegistry(spark, str(tmp_path / "models"))
+    train_model(parse_access_logs(posted_lines(spark, lines), "jsonl"), "baseline", registry)
+    detector, metadata = registry.load_latest()
+    options = JobOptions(model_type="baseline", min_threshold=0.5)
+    for _ in range(2):
+        row = ingest_posted(posted_lines(spark, [*lines, odd]), detector, metadata, options, str(tmp_path / "out"), "r1").first()
+    assert (row["received"], row["anomalies"], row["model_version"]) == (6, 1, metadata["version"])
+    assert read_anomalies(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_forest_samples_do_not_depend_on_partitions(spark, folder):
+    events = access_log_events(spark, folder)
+    events = events.unionByName(events.limit(40))
+    drawn = [
+        {tuple(r) for r in tree_samples(training_features(events.repartition(n)), 1040, 5, 64, 3).select("tree", "draw").collect()} for n in (2, 5)
+    ]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 5 * 64
+
+
+def test_large_model_without_columns_to_spread_by(spark, folder, monkeypatch):
+    events = access_log_events(spark, folder)
+    model = BaselineDetector.train(events)
+    small = {tuple(r) for r in model.score_counts(events).collect()}
+    monkeypatch.setattr(lk, "BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in model.score_counts(events).collect()} == small
+    assert model.score(events).count() == events.count()
+
+
+def test_last_of_repeated_labels_counts(spark):
+    frame = spark.createDataFrame([('{"_label":"one","_label":"two"}',), ('{"a":1}',)], "value string")
+    assert [r["label"] for r in labelled_lines(frame).collect()] == ["two", "clean"]
