@@ -66,10 +66,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._model, self._young, self._old, self._limit = Tokenizer.from_file(path), {}, {}, limit
+        vocabulary = self._model.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, words: list[bytes]) -> None:
-        found = self._model.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)
-        self._young.update((word, np.array(one.ids, "<u4").tobytes()) for word, one in zip(words, found))
+        texts = [word.decode() for word in words]
+        letters = [i for i, text in enumerate(texts) if text.isalpha()]
+        self._encode_together([words[i] for i in letters], [texts[i] for i in letters])
+        rest = [i for i, word in enumerate(words) if word not in self._young]
+        found = self._model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        self._young.update((words[i], np.array(one.ids, "<u4").tobytes()) for i, one in zip(rest, found))
+
+    def _encode_together(self, words: list[bytes], texts: list[str], size: int = 500) -> None:
+        """Words of letters only end with one closing token each, so many fit in one call."""
+        parts = range(0, len(words), size)
+        found = self._model.encode_batch_fast([" ".join(texts[at : at + size]) for at in parts], add_special_tokens=False)
+        for at, one in zip(parts, found):
+            ids = np.array(one.ids, "<u4")
+            stops = np.flatnonzero(self._ends[ids]) + 1
+            part = words[at : at + size]
+            if len(stops) == len(part):  # else they are encoded one by one
+                raw, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self._young.update((word, raw[a:b]) for word, a, b in zip(part, edges, edges[1:]))
 
     def _recall(self, words: set[bytes]) -> list[bytes]:
         """Takes words over from the old generation; gives those that are unknown."""
