@@ -25,9 +25,6 @@ from ..scratch import written
 from .common import batches, text_rows
 
 NULL_DOC = -(2**63)
-# Live anchors of one home that one task handles.
-HOME_ANCHORS = 20_000
-
 SPANS = pa.schema([
     ("home", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("d", pa.int64()), ("key", pa.int64()),
     ("start", pa.int64()), ("symbols", pa.binary()),
@@ -84,11 +81,13 @@ def anchors(docs: DataFrame, hashes_of: Callable[[bytes], np.ndarray], width: in
     return docs.mapInArrow(run, "h long, d long, p long")
 
 
-def live_anchors(found: DataFrame) -> DataFrame:
-    """d and its anchors that occur at least twice: position, home and number of salts of the home."""
+def live_anchors(found: DataFrame, per_task: int) -> DataFrame:
+    """d and its anchors that occur at least twice: position, home and number of salts of the home.
+
+    ``per_task``: live anchors of one home that one task handles."""
     # Stored, as it is read twice and made from all texts.
     twice = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("home")).filter("n > 1"), "live-anchors")
-    load = twice.groupBy("home").agg(F.ceil(F.sum("n") / HOME_ANCHORS).cast("int").alias("salts"))
+    load = twice.groupBy("home").agg(F.ceil(F.sum("n") / per_task).cast("int").alias("salts"))
     homes = twice.join(load, "home").select("h", "home", "salts")
     hits = found.join(homes, "h").groupBy("d")
     return hits.agg(F.collect_list(F.struct("p", "home", "salts")).alias("hits"))
@@ -234,10 +233,10 @@ def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_runs(
     docs: DataFrame, hashes_of: Callable[[bytes], np.ndarray], split: Callable, length: int, inner: int,
-    handle: Callable[[Iterator[list[tuple]]], Iterator[tuple]], every: bool, name: str,
+    handle: Callable[[Iterator[list[tuple]]], Iterator[tuple]], every: bool, name: str, per_task: int,
 ) -> DataFrame:
     """All steps: anchors, homes, spans, ``handle`` at each home, open windows settled."""
     rows = keyed(docs)
-    live = live_anchors(anchors(rows, hashes_of, length - inner + 1))
+    live = live_anchors(anchors(rows, hashes_of, length - inner + 1), per_task)
     return settled(written(by_home(spans(rows, live, split, length, inner), handle), name), every)
 

@@ -29,6 +29,7 @@ from .common import WordHasher, rolled
 
 WINDOW = 20
 INNER = 8
+HOME_ANCHORS = 60_000  # of one shard in one task: about half a million words
 
 
 class SuffixAutomaton:
@@ -153,5 +154,5 @@ def cut_words(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
 
 def remove_repeated_words(docs: DataFrame) -> DataFrame:
     """One row per row of the input: doc_id, n_words, n_removed, kept_sha256 and the text that is left."""
-    runs = repeated_runs(docs, word_hashes, word_slices, WINDOW, INNER, match_shards, False, "word-runs")
+    runs = repeated_runs(docs, word_hashes, word_slices, WINDOW, INNER, match_shards, False, "word-runs", HOME_ANCHORS)
     return cut_rows(keyed(docs), runs, cut_words, CUT, CUT_SQL)

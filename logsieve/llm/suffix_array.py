@@ -29,6 +29,7 @@ from .common import mix
 
 LENGTH = 200
 INNER = 48
+HOME_ANCHORS = 20_000  # of one home in one task: about two million bytes
 BATCH_BYTES = 1_000_000
 FIRST = 7  # symbols in the first sort key, nine bits each
 
@@ -254,5 +255,5 @@ def cut_bytes(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
 
 def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     """One row per row of the input: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left."""
-    runs = repeated_runs(docs, byte_hashes, byte_slices, LENGTH, INNER, match_homes, True, "byte-runs")
+    runs = repeated_runs(docs, byte_hashes, byte_slices, LENGTH, INNER, match_homes, True, "byte-runs", HOME_ANCHORS)
     return cut_rows(keyed(docs), runs, cut_bytes, CUT, CUT_SQL)

@@ -283,9 +283,7 @@ def brute_words(rows, size: int) -> dict:
 
 @pytest.mark.parametrize("per_home", [20_000, 3])
 def test_repeated_words(docs, rows, monkeypatch, per_home):
-    from logsieve.llm import anchors
-
-    monkeypatch.setattr(anchors, "HOME_ANCHORS", per_home)
+    monkeypatch.setattr(automata, "HOME_ANCHORS", per_home)
     wanted = brute_words(rows, automata.WINDOW)
     expected = Counter()
     for i, text in rows:
@@ -331,9 +329,7 @@ def brute_bytes(rows, size: int) -> dict:
 
 @pytest.mark.parametrize("per_home", [20_000, 3])
 def test_repeated_bytes(docs, rows, monkeypatch, per_home):
-    from logsieve.llm import anchors
-
-    monkeypatch.setattr(anchors, "HOME_ANCHORS", per_home)
+    monkeypatch.setattr(suffix_array, "HOME_ANCHORS", per_home)
     wanted = brute_bytes(rows, suffix_array.LENGTH)
     found = collected(suffix_array.remove_repeated_bytes(docs))
     expected = Counter((i, *wanted[i, text or ""]) for i, text in rows)
