@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -36,8 +36,8 @@ PERCENT = 75
 TREES = 10
 TOKENS = 20
 DEPTH = 3
-BRANCHES = 3
-SMALL = 1000
+BRANCHES = 2
+SMALL = 8000
 BINS = 128
 NEAR = 0.58  # a sketch this close may belong to a pair at the threshold (4.5 standard deviations)
 SURE = 0.82
@@ -127,8 +127,31 @@ def alike(a: str, b: str):
     return compare(a, b)
 
 
+def sized(level: DataFrame) -> DataFrame:
+    """place, n and n_open of the places in which anything is left to compare."""
+    sizes = level.groupBy("place").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"))
+    return written(sizes.filter("n > 1 and n_open > 0"), "places")
+
+
+def small() -> Column:
+    """Few enough pairs of an open set and any other to compare them all."""
+    return (F.col("n") <= SMALL) | (F.col("n") * F.col("n_open") <= SMALL * SMALL)
+
+
+def absorb(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """place, id, open, leader and score: sets that resemble the leader of their place are closed."""
+    lead = large.groupBy("place").agg(F.min(F.struct(rank_of("id").alias("rank"), "id")).alias("lead"))
+    lead = lead.select("place", F.col("lead.id").alias("leader")).join(
+        sets.select(F.col("id").alias("leader"), F.col("sketch").alias("lead_sketch")), "leader")
+    full = large.join(sets.select("id", "sketch"), "id").join(lead, "place")
+    scored = full.select("place", "id", "open", "leader", alike("sketch", "lead_sketch").alias("score"))
+    # The leader needs no partner of its own: whatever resembles it points to it.
+    still = F.col("open") & (F.col("score") < SURE) & (F.col("id") != F.col("leader"))
+    return written(scored.withColumn("still", still), "led")
+
+
 def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaves (leaf, chunk, id, open, sketch) to compare, and pointers (id, rank, other, score) made on the way.
+    """leaves (place, chunk, id, open, sketch) to compare, and pointers (id, rank, other, score) made on the way.
 
     ``open`` tells the sets that still need partners from those that only serve as such."""
     first = F.explode(F.array(*[
@@ -137,29 +160,24 @@ def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = sets.select("id", first).select("id", "at.place", F.lit(True).alias("open"))
     leaves, pointers = [], []
     for depth in range(DEPTH):
-        sizes = level.groupBy("place").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open")).filter("n > 1 and n_open > 0")
-        sizes = written(sizes, "places")
-        held = level.join(sizes, "place")
-        last = depth == DEPTH - 1
-        leaves.append(held.filter(F.lit(True) if last else F.col("n") <= SMALL).select("place", "n", "id", "open"))
-        if last or not sizes.filter(F.col("n") > SMALL).take(1):
+        sizes = sized(level)
+        leaves.append(level.join(sizes.filter(small()), "place").select("place", "n", "id", "open"))
+        if not sizes.filter(~small()).take(1):
             break
-        large = held.filter(F.col("n") > SMALL).select("place", "id", "open")
-        full = large.join(sets.select("id", "sketch", "tokens"), "id")
-        lead = large.groupBy("place").agg(F.min(F.struct(rank_of("id").alias("rank"), "id")).alias("lead")).select(
-            "place", F.col("lead.id").alias("leader"))
-        lead = lead.join(sets.select(F.col("id").alias("leader"), F.col("sketch").alias("lead_sketch")), "leader")
-        scored = written(full.join(lead, "place").withColumn("score", alike("sketch", "lead_sketch")).select(
-            "place", "id", "open", "tokens", "leader", "score"), "led")
-        caught = scored.filter((F.col("score") >= SURE) & (F.col("id") != F.col("leader")))
+        led = absorb(level.join(sizes.filter(~small()).select("place"), "place"), sets)
+        caught = led.filter((F.col("score") >= SURE) & (F.col("id") != F.col("leader")))
         pointers.append(caught.select("id", rank_of("leader").alias("rank"), F.col("leader").alias("other"), "score"))
-        still = scored.withColumn("open", F.col("open") & (F.col("score") < SURE) & (F.col("id") != F.col("leader")))
-        # The leader itself is compared with those that do not resemble it.
-        alone = still.groupBy("place").agg(F.count_if("open").alias("n_open")).filter("n_open > 0")
+        level = led.select("place", "id", F.col("still").alias("open"))
+        sizes = sized(level)
+        last = depth == DEPTH - 1
+        done = F.lit(True) if last else small()
+        leaves.append(level.join(sizes.filter(done), "place").select("place", "n", "id", "open"))
+        if last or not sizes.filter(~small()).take(1):
+            break
         branch = F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])).alias("branch")
-        next_ = still.join(alone.select("place"), "place").select("place", "id", "open", "tokens", branch)
+        wide = level.join(sizes.filter(~small()).select("place"), "place").join(sets.select("id", "tokens"), "id")
         chosen = (TREES + F.pmod(F.xxhash64("place", "branch"), F.lit(TOKENS - TREES))).cast("int")
-        level = written(next_.select(
+        level = written(wide.select("place", "id", "open", "tokens", branch).select(
             "id", F.xxhash64("place", "branch", F.get("tokens", chosen)).alias("place"), "open"), "branches")
     found = leaves[0]
     for more in leaves[1:]:
@@ -180,7 +198,8 @@ def _leaves(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.nd
     now, rows = None, []
 
     def packed() -> tuple:
-        ids, opens, sketches, extra = zip(*rows)
+        ids, opens, sketches, *extra = zip(*rows)
+        extra = extra[0] if len(extra) == 1 else list(zip(*extra))
         return list(ids), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS), np.array(opens), list(extra)
 
     for batch in source:
@@ -219,10 +238,11 @@ def point(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cross(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All similar pairs of a leaf whose sets are in different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for ids, sketches, opens, parts in _leaves(source):
-        ids, parts = np.array(ids), np.array(parts)
+    """All similar pairs of a leaf whose sets are in different components, with the leaf."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("chunk", pa.int32())])
+    for ids, sketches, opens, extra in _leaves(source):
+        ids, parts = np.array(ids), np.array([part for part, _, _ in extra])
+        where = extra[0][1:]
         kinds, part = np.unique(parts, return_inverse=True)
         if len(kinds) < 2:
             continue
@@ -236,8 +256,10 @@ def cross(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close = later[likeness(sketches[at], sketches[later]) >= NEAR]
                 if len(close):
                     a = np.full(len(close), ids[at])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, ids[close])), pa.array(np.maximum(a, ids[close]))], schema=schema)
+                    n = len(close)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.minimum(a, ids[close])), pa.array(np.maximum(a, ids[close])),
+                        pa.array(np.full(n, where[0])), pa.array(np.full(n, where[1]), pa.int32())], schema=schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,6 +278,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", linked("x", "y").alias("linked"))
 
 
+def confirmed_in_leaves(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b of the pairs (a, b, place, chunk) that are linked. A set is sent once to each leaf in
+    which it has a pair, not once for each pair."""
+
+    def check(sides: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        known = {one: _unpacked(raw) for one, raw in zip(found["id"], found["members"])}
+        keep = []
+        for a, b in zip(sides["a"], sides["b"]):
+            x, y = known[a], known[b]
+            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        return sides.loc[keep, ["a", "b"]]
+
+    sides = pairs.select(F.col("place").alias("at"), F.col("chunk").alias("of"), F.explode(F.array("a", "b")).alias("id"))
+    grouped = pairs.groupBy("place", "chunk").cogroup(sides.distinct().join(sets, "id").groupBy("at", "of"))
+    return grouped.applyInPandas(check, "a long, b long")
+
+
 def _unpacked(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -263,7 +303,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component, component_id and n_links (of the row's set) of every row.
+    """doc_id, text_key, n_shingles, component and component_id of every row.
 
     ``component`` is null for empty sets; ``component_id`` is the smallest doc_id of the component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -287,27 +327,30 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     links = written(confirmed(first, full), "links")
     groups = components(links.filter("linked").select("a", "b"))
     parts = groups.select(F.col("node").alias("id"), F.col("component").alias("part"))
-    labelled = leaves.join(parts, "id", "left").select("place", "chunk", "id", "open", "sketch", F.coalesce("part", "id").alias("part"))
-    crossing = labelled.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(cross, "a long, b long").distinct()
-    crossing = crossing.join(links, ["a", "b"], "left_anti")
-    more = written(confirmed(crossing, full), "more-links").filter("linked").select("a", "b")
+    labelled = leaves.join(parts, "id", "left").select(
+        "place", "chunk", "id", "open", "sketch", F.coalesce("part", "id").alias("part"), F.col("place").alias("at"), F.col("chunk").alias("of"))
+    crossing = labelled.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
+        cross, "a long, b long, place long, chunk int")
+    # A pair that meets in several leaves is confirmed in one of them.
+    crossing = crossing.groupBy("a", "b").agg(F.min(F.struct("place", "chunk")).alias("at")).select("a", "b", "at.place", "at.chunk")
+    crossing = written(crossing.join(links, ["a", "b"], "left_anti"), "crossing")
+    more = written(confirmed_in_leaves(crossing, full), "more-links")
     every = links.filter("linked").select("a", "b").unionByName(more)
     whole = components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = sets.select("id", "doc_id").join(whole.withColumnRenamed("node", "id"), "id", "left")
     smallest = named.withColumn("component", F.coalesce("component", "id")).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.select("id", F.coalesce("component", "id").alias("component")).join(smallest, "component").join(degree, "id", "left")
-    out = rows.select("doc_id", "text_key", "n_shingles", "id").join(of_set.select("id", "component", "component_id", "n_links"), "id", "left")
+    of_set = named.select("id", F.coalesce("component", "id").alias("component")).join(smallest, "component")
+    out = rows.select("doc_id", "text_key", "n_shingles", "id").join(of_set.select("id", "component", "component_id"), "id", "left")
     return out.select(
         "doc_id", "text_key", "n_shingles", "component", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias(
-            "component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "component_id"),
     )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id = component_id) and n_links of every row."""
+    """doc_id, n_shingles, component_id, and kept (doc_id = component_id) of every row."""
     return linked_rows(docs).select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links"
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 

@@ -104,7 +104,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents")).drop("n_links")
+    return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
 ORACLES["op4_minhash_near_dedup"] = """
