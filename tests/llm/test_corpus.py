@@ -460,6 +460,65 @@ def test_lines_of_equal_simhash_and_close_texts_link(spark):
     assert {r["b"] for r in fuzzy_lines.verified(both, texts).collect()} == {keys[2]}  # same words in another order are no copy
 
 
+def edit_distance(x: str, y: str) -> int:
+    """Bit-parallel (Myers, Hyyrö)."""
+    mask, places = (1 << len(x)) - 1, {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, out = mask, 0, len(x)
+    for c in y:
+        at = places.get(c, 0)
+        zero = (((at & up) + up) ^ up) | at | down
+        plus, minus = down | ~(zero | up) & mask, up & zero
+        out += (plus >> len(x) - 1 & 1) - (minus >> len(x) - 1 & 1)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(zero | plus)) & mask, plus & zero & mask
+    return out
+
+
+def brute_lines(lines: list[str]) -> list[int]:
+    """The first line of the group of each, by edit similarity of all pairs. Lines are in normal form."""
+    label = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            y, most = lines[j], max(len(x), len(lines[j])) // 10
+            if label[i] != label[j] and abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most:
+                low, high = sorted((label[i], label[j]))
+                label = [low if one == high else one for one in label]
+    return label
+
+
+def edited_lines() -> list[str]:
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    out = []
+    for n in range(8, 80):
+        line = [word() for _ in range(n)]
+        out.append(line)
+        for edits in range(1, 2 if n < 12 else 3):
+            for kind in ("change", "drop", "add", "letter"):
+                new = list(line)
+                for at in rng.sample(range(n - edits), edits):
+                    if kind == "letter":
+                        new[at] = new[at][:-1] + rng.choice(letters) + "q"
+                    else:
+                        new[at : at + (kind != "add")] = [] if kind == "drop" else ["".join(rng.choice(letters) for _ in range(4))]
+                out.append(new)
+    # Each of these is less like the first than like the next one.
+    line = [word() for _ in range(40)]
+    out += [line[:at] + [word() for _ in range(5)] + line[at + 5 :] for at in (0, 30, 32)]
+    return [" ".join(line) for line in out]
+
+
+def test_lines_against_brute_force(spark):
+    lines = edited_lines()
+    assert edit_distance("kitten", "sitting") == 3
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    removed = {r["doc_id"] for r in collected(fuzzy_lines.line_report(frame)) if r["n_removed"]}
+    assert removed == {i for i, first in enumerate(brute_lines(lines)) if first != i}
+
+
 def test_simhash_bits(spark):
     words = ["one", "two", "three", "four", "five", "six", "six"]
     frame = spark.createDataFrame([(7, " ".join(words).upper() + "!")], "doc_id long, text string")
