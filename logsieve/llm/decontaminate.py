@@ -1,14 +1,15 @@
 """Benchmark decontamination by spaced seeds, with built-in functions only.
 
-Words are lower-cased and freed of punctuation. A fixed mask of ``SPAN`` words looks at
-some positions and ignores the others, so two passages that differ in an ignored word
-still share the hash. All masks are laid at every position of every benchmark item and every
-document; equal hashes give (document, item, shift) hits, and around each
-hit the two texts are compared word by word on that shift. A hit counts where
-``OVERLAP`` consecutive positions agree in at least ``AGREE`` of them.
+Words are lower-cased and freed of punctuation. A fixed mask looks at some positions and ignores
+the others, so two passages that differ in an ignored word still share the hash. Masks are laid at
+every position of every benchmark item and every document; equal hashes give (document, item,
+shift) hits, and around each hit the two texts are compared word by word on that shift. A hit
+counts where ``OVERLAP`` consecutive positions agree in at least ``AGREE`` of them, or in the same
+share of a shorter item.
 
-Items shorter than the masks are looked up whole if they have ``LEAST`` words or more;
-still shorter ones say nothing about a document and are not searched.
+The masks are chosen so that wherever the words that differ lie in such a stretch, one mask fits
+between them; items shorter than the stretch have masks for their own length. Items of fewer than
+``LEAST`` words say nothing about a document and are not searched.
 
 Defined cases: null and empty texts have no hits; rows with equal or null doc_id and the
 same text share their hits; repeated items are items of their own; an empty table gives
@@ -23,9 +24,19 @@ from pyspark.sql import functions as F
 from ..scratch import written
 from .common import words_of
 
-# 1: the position is looked at. Each mask sees seven of ten words.
-MASKS = ("1111111", "1101011011", "1110010111")
-SPAN = 10
+# 1: the position is looked at. By the length of the stretch, that of the item or OVERLAP at most.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111011", "11111"),
+    9: ("111011", "1001111", "11010011", "111101"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11101011", "1101000111", "111111"),
+    13: ("11101011", "1100100111", "111111", "11001010011", "1100011011", "1111011"),
+}
+ALL_MASKS = sorted({mask for masks in MASKS.values() for mask in masks})
 OVERLAP = 13
 AGREE = 10
 LEAST = 5
@@ -44,10 +55,10 @@ def _seed(words: str, at: str, mask: str, number: int) -> Column:
     return F.when(F.expr(f"{at} + {len(mask)} <= size({words})"), F.xxhash64(F.lit(number), *looked))
 
 
-def seeds(rows: DataFrame) -> DataFrame:
+def seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
     """The rows, once for each position and mask: ``at`` and ``seed``. Needs an array ``hashes``."""
     placed = rows.select("*", F.explode(F.expr("case when size(hashes) > 0 then sequence(0, size(hashes) - 1) else array() end")).alias("at"))
-    found = F.array(*[_seed("hashes", "at", mask, i) for i, mask in enumerate(MASKS)])
+    found = F.array(*[_seed("hashes", "at", mask, ALL_MASKS.index(mask)) for mask in masks])
     return placed.select("*", F.explode(found).alias("seed")).filter("seed is not null")
 
 
@@ -61,34 +72,34 @@ def item_rows(benchmark: DataFrame) -> DataFrame:
     return written(rows.filter(F.size("words") >= LEAST).withColumn("item", F.monotonically_increasing_id()), "benchmark")
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """seed, item, item_at: masks at every position, and short items whole."""
-    long = seeds(hashed(items)).select("seed", "item", F.col("at").alias("item_at"))
-    whole = F.array_join("words", " ")
-    short = items.filter(F.size("words") < SPAN).select(F.xxhash64(F.lit(-1), whole).alias("seed"), "item", F.lit(0).alias("item_at"))
-    return written(long.unionByName(short).distinct(), "benchmark-seeds")
+def stretch() -> Column:
+    """How many words of an item have to be compared at once."""
+    return F.least(F.lit(OVERLAP), F.size("words"))
 
 
-def document_seeds(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """d, key, seed and at, of every document. ``lengths``: those of short items."""
+def item_seeds(items: DataFrame, widths: list[int]) -> DataFrame:
+    """seed, item, item_at: the masks of an item's stretch at every position."""
+    found = None
+    for width in widths:
+        some = seeds(hashed(items.filter(stretch() == width)), list(MASKS[width])).select("seed", "item", F.col("at").alias("item_at"))
+        found = some if found is None else found.unionByName(some)
+    return written(found.distinct(), "benchmark-seeds")
+
+
+def document_seeds(docs: DataFrame, masks: list[str]) -> DataFrame:
+    """d, key, seed and at, of every document."""
     base = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.select("d", F.xxhash64("text").alias("key"), plain_words(F.col("text")).alias("words"))
-    found = seeds(hashed(base)).select("d", "key", "seed", "at")
-    for length in lengths:
-        at = F.explode(F.expr(f"case when size(words) >= {length} then sequence(0, size(words) - {length}) else array() end"))
-        placed = base.select("*", at.alias("at"))
-        whole = F.xxhash64(F.lit(-1), F.array_join(F.slice("words", F.col("at") + 1, length), " "))
-        found = found.unionByName(placed.select("d", "key", whole.alias("seed"), "at"))
-    return found
+    return seeds(hashed(base), masks).select("d", "key", "seed", "at")
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """d, key, item, shift: where a mask of an item and of a document agree."""
-    wanted = item_seeds(items)
-    short = [row[0] for row in items.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().orderBy("n").collect()]
+    widths = [row[0] for row in items.select(stretch().alias("n")).distinct().orderBy("n").collect()] or [OVERLAP]
+    wanted = item_seeds(items, widths)
     if wanted.count() <= BROADCAST_SEEDS:
         wanted = F.broadcast(wanted)
-    found = document_seeds(docs, short).join(wanted, "seed")
+    found = document_seeds(docs, sorted({mask for width in widths for mask in MASKS[width]})).join(wanted, "seed")
     return found.select("d", "key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -426,6 +427,26 @@ def test_contaminated_documents(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench).count() == docs.count()
 
 
+def test_every_pattern_of_changed_words_is_found(spark):
+    rng = random.Random(6)
+    sizes = [5, 6, 7, 8, 9, 10, 11, 12, 13, 17]
+    items = [[f"i{size}w{n}" for n in range(size)] for size in sizes]
+    texts, wanted = [], set()
+    for i, (size, item) in enumerate(zip(sizes, items)):
+        width = min(size, decontaminate.OVERLAP)
+        needed = -(-width * decontaminate.AGREE // decontaminate.OVERLAP)
+        for n in (size - needed, size - needed + 1) if size <= 13 else (4, 5):
+            patterns = list(combinations(range(size), n))
+            for changed in patterns if n <= 3 else rng.sample(patterns, min(60, len(patterns))):
+                words = [f"x{at}" if at in changed else word for at, word in enumerate(item)]
+                if any(sum(a == b for a, b in zip(words[s : s + width], item[s : s + width])) >= needed for s in range(size - width + 1)):
+                    wanted.add((len(texts), i))
+                texts.append(" ".join(["before", "it", *words, "after", "it"]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in collected(decontaminate.contaminated(frame, bench))} == wanted
+
+
 # Lines
 
 def test_lines(spark, docs, empty):
