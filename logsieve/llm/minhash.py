@@ -6,7 +6,8 @@ similarity s share that place with probability s; ``TREES`` independent trees
 leave a pair at the threshold unseen with probability 0.25 ** TREES. Places with few sets
 are compared exhaustively by sketches. A place with many sets first lets go of
 those that resemble its leader (they point to it and need no other partner of that kind), and
-branches on further chosen tokens if any are left.
+branches on further chosen tokens if any are left. Sets that were let go but turn out to be in
+another component than their leader are compared with the whole place later.
 
 Links come in two rounds. First every set points to the similar set of smallest rank, one
 link for each set, so a group of copies becomes a star and not a clique. The links
@@ -19,6 +20,7 @@ an empty table gives no rows; other columns are ignored.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,21 +152,23 @@ def absorb(large: DataFrame, sets: DataFrame) -> DataFrame:
     return written(scored.withColumn("still", still), "led")
 
 
-def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leaves (place, chunk, id, open, sketch) to compare, and pointers (id, rank, other, score) made on the way.
+def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """leaves (place, chunk, id, open, sketch) to compare, pointers (id, rank, other, score) made on the way,
+    and the large places (place, id, open, leader, score) of each level.
 
     ``open`` tells the sets that still need partners from those that only serve as such."""
     first = F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("tokens", F.lit(t))).alias("place")) for t in range(TREES)
     ])).alias("at")
     level = sets.select("id", first).select("id", "at.place", F.lit(True).alias("open"))
-    leaves, pointers = [], []
+    leaves, pointers, large = [], [], []
     for depth in range(DEPTH):
         sizes = sized(level)
         leaves.append(level.join(sizes.filter(small()), "place").select("place", "n", "id", "open"))
         if not sizes.filter(~small()).take(1):
             break
         led = absorb(level.join(sizes.filter(~small()).select("place"), "place"), sets)
+        large.append(led)
         caught = led.filter((F.col("score") >= SURE) & (F.col("id") != F.col("leader")))
         pointers.append(caught.select("id", rank_of("leader").alias("rank"), F.col("leader").alias("other"), "score"))
         level = led.select("place", "id", F.col("still").alias("open"))
@@ -182,15 +186,39 @@ def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = leaves[0]
     for more in leaves[1:]:
         found = found.unionByName(more)
+    made = sets.sparkSession.createDataFrame([], "id long, rank long, other long, score double")
+    for some in pointers:
+        made = made.unionByName(some)
+    return chunked(found, sets), made, large
+
+
+def chunked(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Leaves (place, chunk, id, open, sketch) of the places (place, n, id, open)."""
     # Large leaves are compared in chunks; the open sets go to each chunk.
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.array(F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int"))
     chunk = F.explode(F.when(F.col("open"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
-    placed = found.withColumn("chunk", chunk).select("place", "chunk", "id", "open").join(sets.select("id", "sketch"), "id")
-    made = sets.sparkSession.createDataFrame([], "id long, rank long, other long, score double")
-    for some in pointers:
-        made = made.unionByName(some)
-    return placed, made
+    return found.withColumn("chunk", chunk).select("place", "chunk", "id", "open").join(sets.select("id", "sketch"), "id")
+
+
+def reopened(large: list[DataFrame], parts: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Leaves of the large places that hold sets closed for a leader of another component (id, part); these are
+    open, and nothing else is. None if there are no such sets."""
+    if not large:
+        return None
+    led = reduce(DataFrame.unionByName, large)
+    caught = led.filter(F.col("open") & (F.col("score") >= SURE) & (F.col("id") != F.col("leader"))).select("place", "id", "leader")
+    of_leader = parts.select(F.col("id").alias("leader"), F.col("part").alias("lead_part"))
+    caught = caught.join(parts, "id", "left").join(of_leader, "leader", "left")
+    apart = F.coalesce("part", "id") != F.coalesce("lead_part", "leader")
+    again = written(caught.filter(apart).select("place", "id", F.lit(True).alias("open")), "reopened")
+    places = again.select("place").distinct()
+    if not places.take(1):
+        return None
+    members = led.select("place", "id").join(places, "place")
+    members = members.join(again, ["place", "id"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    sized_ = members.join(members.groupBy("place").agg(F.count("*").alias("n")), "place")
+    return chunked(sized_.withColumn("place", F.xxhash64(F.lit(6), "place")), sets)
 
 
 def _leaves(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list]]:
@@ -311,7 +339,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     member = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")
     sets = written(rows.filter("id is not null").groupBy("id").agg(
         F.min(member)["doc_id"].alias("doc_id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
-    leaves, made = grow_trees(sets)
+    leaves, made, large = grow_trees(sets)
     leaves = written(leaves, "leaves")
     grouped = leaves.select("place", "chunk", "id", "open", "sketch", rank_of("id").alias("rank"))
     pointed = grouped.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
@@ -327,6 +355,9 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     links = written(confirmed(first, full), "links")
     groups = components(links.filter("linked").select("a", "b"))
     parts = groups.select(F.col("node").alias("id"), F.col("component").alias("part"))
+    again = reopened(large, parts, sets)
+    if again is not None:
+        leaves = leaves.unionByName(written(again, "leaves-again"))
     labelled = leaves.join(parts, "id", "left").select(
         "place", "chunk", "id", "open", "sketch", F.coalesce("part", "id").alias("part"), F.col("place").alias("at"), F.col("chunk").alias("of"))
     crossing = labelled.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
