@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, decontaminate, fuzzy_lines, html_text, language, minhash, quality, sharding, suffix_array
+from . import automata, centroids, decontaminate, fuzzy_lines, html_text, language, minhash, quality, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -126,3 +126,11 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM words w LEFT JOIN sizes USING (doc_id) JOIN least ON least.doc_id = w.doc_id
 """
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, folder, "embeddings")).drop("centroid")
+
+
+ORACLES["op12_centroid_clustering"] = centroids.cluster_sql()
