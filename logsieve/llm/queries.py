@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, centroids, decontaminate, fuzzy_lines, html_text, language, minhash, quality, sharding, suffix_array
+from . import automata, centroids, decontaminate, fuzzy_lines, html_text, language, minhash, quality, ranked_search, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -134,3 +134,11 @@ def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_centroid_clustering"] = centroids.cluster_sql()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = ranked_search.SQL
