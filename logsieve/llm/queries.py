@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata, centroids, decontaminate, fuzzy_lines, html_text, language, minhash, quality, ranked_search, sharding, suffix_array
+from . import automata, centroids, decontaminate, fuzzy_lines, html_text, jaccard_join, language, minhash, quality, ranked_search, sharding, suffix_array
 from .common import table
 from .packing import pack_documents
 
@@ -128,6 +128,14 @@ FROM words w LEFT JOIN sizes USING (doc_id) JOIN least ON least.doc_id = w.doc_i
 """
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_rows(table(spark, folder, "documents")).drop("set_key")
+
+
+ORACLES["op11_jaccard_join"] = jaccard_join.SQL
+
+
 @query
 def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, folder, "embeddings")).drop("centroid")
