@@ -17,8 +17,9 @@ have a partner.
    Large ones get several pivots: a point goes to its nearest pivot, at distance h, and as a boundary
    copy to every other pivot within h + 2 E (by the triangle inequality a partner can have no
    other home); points farther than 1 - E from all pivots make a region of their own, joined
-   by those beyond 1 - 2 E. These regions are split again in the same way. What is still large
-   after ``DEPTH`` splits is compared in blocks, each pair of blocks in one task.
+   by those beyond 1 - 2 E. These regions are split again in the same way. A region that would
+   grow more than ``COPIES`` times by its boundary copies, and what is still large after ``DEPTH``
+   splits, is compared in blocks, each pair of blocks in one task.
 
 Inside a region, the known components are never compared with themselves, and only links that connect
 two components leave the task, so rows stay linear in the points. Distances are exact on
@@ -52,6 +53,7 @@ ROUNDS = 2
 DEPTH = 3
 PIVOTS = 12
 LEAF = 1000
+COPIES = 2
 LEAF_SHINGLES = 1_000_000
 ORDER_BITS = 20
 SEEN_BITS = 23
@@ -363,8 +365,14 @@ def region_links(cells: DataFrame, full: DataFrame) -> DataFrame:
         links.append(star_links(found))
         # A pivot is a point of its own region at distance 0.
         own = pivots.select("cell", F.col("pivot").alias("key"), "pivot").distinct()
-        split = regions(found).unionByName(own).distinct()
-        split = split.join(large, ["cell", "key"]).select(F.xxhash64(F.lit(depth), "cell", "pivot").alias("cell"), "key", "part", "size")
+        split = written(regions(found).unionByName(own).distinct(), "split")
+        # A cell in which most points lie within the windows of most pivots is not worth splitting.
+        before = large.groupBy("cell").agg(F.count("*").alias("n"))
+        dense = split.groupBy("cell").agg(F.count("*").alias("copies")).join(before, "cell").filter(F.col("copies") > COPIES * F.col("n")).select("cell")
+        dense = written(dense, "dense")
+        links.append(leaf_links(blocks(large.join(dense, "cell"), full), full))
+        split = split.join(dense, "cell", "left_anti").join(large, ["cell", "key"])
+        split = split.select(F.xxhash64(F.lit(depth), "cell", "pivot").alias("cell"), "key", "part", "size")
         now = written(worth_joining(split), "cells")
     return written(reduce(DataFrame.unionByName, links), "region-links")
 

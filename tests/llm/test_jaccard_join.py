@@ -84,6 +84,8 @@ def test_join_equals_brute_force(spark, monkeypatch, rounds, leaf, pivots, often
     monkeypatch.setattr(jaccard_join, "SAMPLE", 4 if often == 1 else 64)
     if rounds == 0:
         monkeypatch.setattr(jaccard_join, "DEPTH", 1)
+    if pivots == 3:  # split however much the region grows
+        monkeypatch.setattr(jaccard_join, "COPIES", 100)
     rows = corpus()
     docs = spark.createDataFrame([(*row, 1, 2, "a", "b", "c") for row in rows], COLUMNS).repartition(3)
     found = jaccard_join.similar_rows(docs).drop("set_key").collect()
