@@ -75,11 +75,11 @@ def event_counters(cube: DataFrame, *by: str) -> DataFrame:
 
 
 def running_summary(batches: DataFrame) -> DataFrame:
-    """One row from the batch table: total events, anomalies, rate and the time of the last ingest."""
+    """One row from the batch table: total events, anomalies, rate and the time of the last ingest that held an event."""
     totals = batches.agg(
         F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),
         F.coalesce(F.sum("anomalies"), F.lit(0)).alias("anomalies"),
-        F.max("ingest_ts").alias("last_ingest"),
+        F.max(_ingest_time()).alias("last_ingest"),
     )
     rate = F.when(F.col("total_events") > 0, F.col("anomalies") / F.col("total_events")).otherwise(0.0)
     return totals.withColumn("anomaly_rate", rate)
@@ -92,9 +92,14 @@ def ingest_summary(results: DataFrame, model_version: str) -> DataFrame:
     ).withColumn("model_version", F.lit(model_version))
 
 
+def _ingest_time() -> Column:
+    """A batch of rejected lines alone is no ingest."""
+    return F.when(F.col("events") > 0, F.col("ingest_ts"))
+
+
 def last_ingest_time(batches: DataFrame) -> DataFrame:
-    """Unix time of the last ingest; null while nothing was ingested."""
-    return batches.agg(F.unix_seconds(F.max("ingest_ts")).alias("last_ingest_unix"))
+    """Unix time of the last ingest of an event; null while nothing was ingested."""
+    return batches.agg(F.unix_seconds(F.max(_ingest_time())).alias("last_ingest_unix"))
 
 
 def latest_batch_rate(batches: DataFrame) -> DataFrame:
@@ -282,13 +287,13 @@ def duration_totals(batches: DataFrame, seconds: str = "duration_seconds") -> Da
 def metric_table(cube: DataFrame, batches: DataFrame, environment: str = "dev") -> DataFrame:
     """All series in one long table: metric, labels, le, value.
 
-    ``batches`` has batch_id, anomaly_rate, ingest_ts and duration_seconds of every ingested
-    batch: the rate gauge and the time of the last ingest are those of the newest one.
+    ``batches`` has batch_id, events, anomaly_rate, ingest_ts and duration_seconds of every ingested
+    batch: the rate gauge is that of the newest one, the time that of the newest one with an event.
     """
     named = F.lit(environment).alias("environment")
     newest = batches.agg(
         F.max_by("anomaly_rate", "batch_id").alias("anomaly_rate"),
-        F.unix_seconds(F.max_by("ingest_ts", "batch_id")).alias("last_ingest"),
+        F.unix_seconds(F.max(_ingest_time())).alias("last_ingest"),
     ).withColumn("environment", named)
     durations = duration_histogram(batches).withColumn("environment", named)
     spent = duration_totals(batches).withColumn("environment", named)

@@ -33,12 +33,13 @@ from .plans.detect import detect, file_summary, ingest_files
 from .plans.registry import ModelRegistry
 from .plans.train import calibration, fit_forest, train_model
 from .scratch import new_path
-from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies
+from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies, recent_stored
 from .sinks.export import json_lines, plain_lines, write_lines
 from .sources.access_log import access_log_events, access_log_view, as_events
 from .sources.lines import count_lines, line_batches, read_lines, stream_lines, strict_events
 from .streaming import rates
 from .streaming.ingest import start_ingest
+from .streaming.store import CountStore
 
 THRESHOLD = fv.BASELINE_THRESHOLD
 REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,60 +781,96 @@ def iforest_auc(spark: SparkSession, folder: str) -> DataFrame:
 # --- Streaming ---------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The access log with ``events`` read as a stream."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
-    return as_events(access_log_view(events, pages))
+def event_stream(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
+    """The access log as a stream: ``events`` cut by time into files, one file a batch."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    path = new_path(spark, "event-files")
+    low, high = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    for at in range(files):  # one after another, as a stream takes files in the order of their writing
+        start, stop = (low + (high - low) * (at + step) / files for step in (0, 1))
+        upper = F.col("ts") <= stop if at == files - 1 else F.col("ts") < stop
+        events.filter((F.col("ts") >= start) & upper).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return as_events(access_log_view(stream, spark.read.parquet(f"{folder}/pages.parquet")))
 
 
-@report
-def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """The plain export streamed in, scored and stored; totals of the batch table."""
-    events = access_log_events(spark, folder)
+def ingested_stream(spark: SparkSession, folder: str, rejected: bool = False) -> tuple[str, str]:
+    """The plain export streamed in, scored and stored, a file a batch: the anomaly table and the batch table.
+
+    ``rejected`` adds a last file without a good line."""
     inbox, anomalies = new_path(spark, "inbox"), new_path(spark, "anomalies")
     batches, checkpoint = new_path(spark, "batches"), new_path(spark, "ingest-checkpoint")
-    write_lines(exported_plain(spark, folder), inbox)
+    exported_plain(spark, folder).coalesce(3).write.text(inbox)
     model = BaselineDetector.train(parse_access_logs(read_lines(spark, inbox), "plain"))
+    if rejected:
+        broken_plain(spark, folder).filter(F.col("event_id") % 97 == 0).select("value").coalesce(1).write.mode("append").text(inbox)
     options = JobOptions(source_format="plain")
-    start_ingest(
-        stream_lines(spark, inbox), model, THRESHOLD, options, anomalies, batches, checkpoint
-    ).awaitTermination()
-    stored = spark.read.parquet(anomalies).agg(F.count("*").alias("stored"))
+    stream = stream_lines(spark, inbox, files_per_trigger=1)
+    start_ingest(stream, model, THRESHOLD, options, anomalies, batches, checkpoint).awaitTermination()
+    return anomalies, batches
+
+
+@report
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of the batch table of a streamed ingest, and of the rows stored."""
+    anomalies, batches = ingested_stream(spark, folder)
+    stored = read_anomalies(spark, anomalies).agg(F.count("*").alias("stored"))
     totals = spark.read.parquet(batches).agg(
-        F.sum("received").alias("received"),
+        F.sum("events").alias("received"),
         F.sum("anomalies").alias("anomalies"),
         F.sum("skipped").alias("skipped"),
     )
     return totals.join(F.broadcast(stored))
 
 
+@report
+def stream_recent(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest anomalies read back from the table a stream has written."""
+    anomalies, _ = ingested_stream(spark, folder)
+    newest = recent_stored(spark, anomalies, ["event_ts", "path", "anomaly_score"], limit=50, min_score=0.9)
+    return newest.select("timestamp", "path", rounded("anomaly_score").alias("anomaly_score"))
+
+
+@report
+def stream_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Running totals from the stream's own batch table; the last batch holds rejected lines only."""
+    _, path = ingested_stream(spark, folder, rejected=True)
+    batches = spark.read.parquet(path)
+    ingests = batches.agg(F.max(F.when(F.col("events") > 0, F.col("batch_id"))).alias("batch_id"))
+    newest = batches.join(F.broadcast(ingests), "batch_id").select(F.col("ingest_ts").alias("newest_ts"))
+    summary = mt.running_summary(batches).join(F.broadcast(newest)).join(F.broadcast(mt.last_ingest_time(batches)))
+    rejected = batches.agg(F.count_if("events = 0").alias("empty_batches"), F.sum("skipped").alias("skipped"))
+    same = (F.col("last_ingest") == F.col("newest_ts")) & (F.unix_seconds("last_ingest") == F.col("last_ingest_unix"))
+    return summary.join(F.broadcast(rejected)).select(
+        "total_events", "anomalies", rounded("anomaly_rate").alias("anomaly_rate"), "empty_batches", "skipped", same.alias("time_of_last_event_batch"))
+
+
+def updated(counts: DataFrame, store: CountStore) -> CountStore:
+    """The store after all counts of a stream."""
+    rates.start_updates(counts, store, new_path(counts.sparkSession, "counts-checkpoint")).awaitTermination()
+    return store
+
+
 @report
 def stream_rate(spark: SparkSession, folder: str) -> DataFrame:
-    counts = rates.bucket_counts(event_stream(spark, folder), "event_ts", watermark="10 minutes")
-    path, checkpoint = new_path(spark, "rates"), new_path(spark, "rates-checkpoint")
-    rates.start_updates(counts, path, checkpoint).awaitTermination()
-    return round_all(rates.stored_rates(spark.read.parquet(path)))
+    """Sliding rates from a store that is merged every second batch."""
+    counts = rates.bucket_counts(event_stream(spark, folder), "event_ts")
+    store = rates.bucket_store(spark, new_path(spark, "rates"), merge_every=2)
+    return round_all(rates.stored_rates(updated(counts, store)))
 
 
 @report
 def stream_status_counters(spark: SparkSession, folder: str) -> DataFrame:
     status = mt.status_class(F.col("status")).alias("status_class")
     counts = rates.cumulative_counters(event_stream(spark, folder), status)
-    path, checkpoint = new_path(spark, "counters"), new_path(spark, "counters-checkpoint")
-    rates.start_updates(counts, path, checkpoint).awaitTermination()
-    return rates.latest_counts(spark.read.parquet(path), ["status_class"])
+    return updated(counts, CountStore(spark, new_path(spark, "counters"), ["status_class"], merge_every=2)).counts()
 
 
 @report
 def stream_score_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Score quantiles per 5-minute window of a scored stream."""
     model = BaselineDetector.train(access_log_events(spark, folder))
-    scored = model.score(event_stream(spark, folder))
-    counts = rates.windowed_score_buckets(scored, "event_ts")
-    path, checkpoint = new_path(spark, "quantiles"), new_path(spark, "quantiles-checkpoint")
-    rates.start_updates(counts, path, checkpoint).awaitTermination()
-    latest = rates.latest_counts(spark.read.parquet(path), ["window_start", "score_le"])
+    counts = rates.windowed_score_buckets(model.score(event_stream(spark, folder)), "event_ts")
+    latest = updated(counts, rates.score_store(spark, new_path(spark, "quantiles"), merge_every=2)).counts()
     buckets = mt.cumulative_buckets(latest, "score_le", "cnt", fv.SCORE_BOUNDS, ["window_start"])
     return round_all(mt.histogram_quantiles(buckets, by=["window_start"]))

@@ -725,6 +725,19 @@ ORACLES["stream_ingest"] = query(
     "SELECT count(*) AS received, count_if(is_anomaly)::BIGINT AS anomalies, 0::BIGINT AS skipped, "
     "count_if(is_anomaly)::BIGINT AS stored FROM pres",
 )
+ORACLES["stream_recent"] = query(
+    "pres",
+    "SELECT replace(strftime(event_ts, '%Y-%m-%d %H:%M:%S'), ' ', 'T') || '+00:00' AS timestamp, path, "
+    f"{r('score', 'anomaly_score')} FROM (SELECT * FROM (SELECT t.*, 1::DOUBLE - c.cnt::DOUBLE / (SELECT max(cnt) FROM pcnt) AS score "
+    f"FROM pres t JOIN pcnt c USING (template) WHERE is_anomaly) ORDER BY event_ts DESC, path DESC, score DESC LIMIT {fv.MAX_STORED_ANOMALIES}) "
+    "WHERE score >= 0.9 ORDER BY event_ts DESC, path DESC, score DESC LIMIT 50",
+)
+ORACLES["stream_summary"] = query(
+    "pres",
+    "SELECT count(*) AS total_events, count_if(is_anomaly)::BIGINT AS anomalies, "
+    f"{r('count_if(is_anomaly) / count(*)::DOUBLE', 'anomaly_rate')}, 1::BIGINT AS empty_batches, "
+    "count_if(event_id % 97 = 0)::BIGINT AS skipped, true AS time_of_last_event_batch FROM pres",
+)
 ORACLES["strict_file_scan"] = query("log", "SELECT method, status, count(*) AS cnt FROM log GROUP BY 1, 2")
 ORACLES["file_line_counts"] = query("broken", "SELECT count(*) AS lines FROM broken")
 ORACLES["multi_file_ingest"] = query(

@@ -11,7 +11,7 @@ from .. import fixed_values as fv
 from ..functions.times import iso_text
 from ..schema import ANOMALY_COLUMNS
 
-FILES_PER_DATE = 8
+FILES_PER_HOUR = 4
 
 
 def anomaly_rows(results: DataFrame, *kept: str) -> DataFrame:
@@ -25,18 +25,31 @@ def anomaly_rows(results: DataFrame, *kept: str) -> DataFrame:
     return flat.select(*kept, *ANOMALY_COLUMNS)
 
 
-def append_anomalies(results: DataFrame, path: str, *order: str, run_id: str | None = None) -> None:
-    """Store the anomalies of a run, one folder per event date; ``order`` columns keep ingest order.
+def store_anomalies(rows: DataFrame, path: str, run_id: str, spread: bool = True) -> None:
+    """Store one run's ``anomaly_rows`` (with ``event_ts``), one folder per UTC hour of the event.
 
-    A job that is repeated with the same ``run_id`` replaces what it stored before. The
-    rows of a date are dealt over a few tasks, so a run leaves a few files per date.
+    The run's folder is replaced as a whole if the run is repeated. ``_index`` keeps one row per run and hour
+    with the number of rows and their first and last event time; readers choose folders by it. An event
+    without a time has no hour. The rows of an hour are dealt over a few tasks, so a run leaves a few files per hour;
+    without ``spread`` the rows are written where they are, as suits a small batch of few hours.
     """
-    run = run_id or uuid.uuid4().hex
-    dated = results.withColumns({"event_date": F.to_date("event_local"), "run_id": F.lit(run)})
-    rows = anomaly_rows(dated, "run_id", "event_date", "event_ts", *order)
-    spread = F.pmod(F.xxhash64("event_ts", "path"), F.lit(FILES_PER_DATE))
-    writer = rows.repartition("event_date", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("run_id", "event_date").parquet(path)
+    spark = rows.sparkSession
+    hour = F.floor(F.unix_micros("event_ts") / 3_600_000_000).alias("event_hour")
+    placed = rows.select("*", hour)
+    if spread:
+        placed = placed.repartition("event_hour", F.pmod(F.xxhash64("event_ts", "path"), F.lit(FILES_PER_HOUR)))
+    own = f"{path}/run_id={run_id}"
+    placed.write.mode("overwrite").partitionBy("event_hour").parquet(own)
+    # The kinds are given, as a run without anomalies leaves no file to read them from.
+    stored = spark.read.schema(placed.schema).parquet(own)
+    hours = stored.groupBy("event_hour").agg(
+        F.count("*").alias("n"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+    hours.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index/run_id={run_id}")
+
+
+def append_anomalies(results: DataFrame, path: str, *order: str, run_id: str | None = None) -> None:
+    """Store the anomalies of a run; ``order`` columns keep ingest order. See ``store_anomalies``."""
+    store_anomalies(anomaly_rows(results, "event_ts", *order), path, run_id or uuid.uuid4().hex)
 
 
 def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
@@ -45,20 +58,22 @@ def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recent_stored(spark: SparkSession, path: str, newest_first: list[str], retained: int = fv.MAX_STORED_ANOMALIES, **limits: object) -> DataFrame:
-    """``recent_anomalies`` of a stored table, reading only the newest dates that hold enough rows.
+    """``recent_anomalies`` of a stored table, reading only the newest hours that hold enough rows.
 
-    ``newest_first`` begins with the event time, which the dates are cut from.
+    ``newest_first`` begins with ``event_ts``, which the hours are cut from. The hours are taken from the
+    index, newest first, until they hold ``retained`` rows; rows without a time come last.
     """
-    stored = read_anomalies(spark, path)
-    # One row per date; the count comes from the files' footers.
-    dates = stored.groupBy("event_date").count().orderBy(F.desc_nulls_last("event_date"))
-    upto, first = 0, None
-    for row in dates.toLocalIterator():
-        upto, first = upto + row["count"], row["event_date"]
+    if newest_first[:1] != ["event_ts"]:
+        raise ValueError("the newest rows are found by event_ts")
+    index = spark.read.parquet(f"{path}/_index")
+    upto, since = 0, None
+    for row in index.groupBy("event_hour").agg(F.sum("n").alias("n")).orderBy(F.desc_nulls_last("event_hour")).toLocalIterator():
+        upto, since = upto + row["n"], row["event_hour"]
         if upto >= retained:
             break
-    # A local date can lie a day beside the date of the event time.
-    newest = stored if first is None else stored.filter(F.col("event_date") >= F.date_sub(F.lit(first), 1))
+    stored = read_anomalies(spark, path)
+    # Without enough rows that have a time, all hours are read.
+    newest = stored if since is None or upto < retained else stored.filter(F.col("event_hour") >= since)
     return recent_anomalies(newest, newest_first, retained=retained, **limits)
 
 

@@ -12,10 +12,10 @@ from ..operators.parse import parse_access_logs
 from ..options import JobOptions
 from ..plans.detect import detect, parse_options
 from ..plans.registry import Detector
-from ..sinks.anomalies import anomaly_rows
+from ..sinks.anomalies import anomaly_rows, store_anomalies
 
 BATCH_SCHEMA = (
-    "batch_id bigint, received bigint, anomalies bigint, skipped bigint, anomaly_rate double, "
+    "batch_id bigint, events bigint, anomalies bigint, skipped bigint, anomaly_rate double, "
     "duration_seconds double, ingest_ts timestamp"
 )
 
@@ -50,19 +50,18 @@ def start_ingest(
         seen = Observation()
         watched = scored.observe(
             seen,
-            F.count_if(valid).alias("received"),
+            F.count_if(valid).alias("events"),
             F.count_if(valid & F.col("is_anomaly")).alias("anomalies"),
             F.count_if(~valid).alias("skipped"),
         )
-        stored = anomaly_rows(watched.filter(valid), "event_ts", "file").withColumn(
-            "batch_id", F.lit(batch_id).cast("long")
-        )
-        _replace_batch(stored, anomaly_path)
+        # Without a shuffle, which would take the observation with it where it turns out to be empty.
+        rows = anomaly_rows(watched.filter(valid), "event_ts", "file")
+        store_anomalies(rows, anomaly_path, f"batch-{batch_id:09d}", spread=False)
         counts = seen.get
-        received, anomalies = counts["received"], counts["anomalies"]
-        rate = anomalies / received if received else 0.0
+        events, anomalies = counts["events"], counts["anomalies"]
+        rate = anomalies / events if events else 0.0
         row = spark.createDataFrame(
-            [(batch_id, received, anomalies, counts["skipped"], rate, time.monotonic() - started)],
+            [(batch_id, events, anomalies, counts["skipped"], rate, time.monotonic() - started)],
             BATCH_SCHEMA.removesuffix(", ingest_ts timestamp"),
         ).withColumn("ingest_ts", F.current_timestamp())
         _replace_batch(row.coalesce(1), batch_path)
