@@ -6,6 +6,7 @@ random until rows stand alone; rows that are isolated early are anomalous.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from .features import extract_features, feature_columns, feature_moments
 
 MODEL_VERSION = "iforest"
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, size int, path_length double"
+PRIME = 2**31 - 1
+BLOCK = 10_000
 _EULER = 0.5772156649015329
 
 
@@ -33,31 +36,68 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
 
 
-def uniform_hash(*columns: Column) -> Column:
-    """Repeatable number in [0, 1) from the given columns."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
+def _digits(text: str, start: int, count: int) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[start : start + count], 16)
 
 
-def tree_samples(rows: DataFrame, n: int, trees: int, sample_size: int, seed: int) -> DataFrame:
+def draw_factors(trees: int, seed: int) -> list[list[int]]:
+    """Six factors for each tree, below PRIME: the linear functions that rank the rows for the tree."""
+    return [[_digits(f"{seed}:tree:{tree}:{part}", 0, 15) % PRIME for tree in range(trees)] for part in range(6)]
+
+
+def with_row_ids(features: DataFrame) -> DataFrame:
+    """Training features with ``_row``, which rows without an id get from their content and their number
+    among equal rows.
+
+    Equal rows are counted per file of the written features first, so that a content which most rows
+    share never comes into one task; the counts of the files before give the first number in each
+    file. The ids are the same however the rows are partitioned, as equal rows are interchangeable.
+    """
+    if "_row" in features.columns:
+        return features
+    own = features.groupBy("_content", "_file").agg(
+        F.count("*").alias("_n"), *[F.first(name).alias(name) for name in fv.FEATURE_NAMES])
+    before = Window.partitionBy("_content").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # In two steps, so that no array holds the numbers of a whole file.
+    blocks = own.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK))))
+    stop = F.least(F.col("_n"), (F.col("_block") + 1) * BLOCK) - 1
+    rows = blocks.withColumn("_at", F.explode(F.sequence(F.col("_block") * BLOCK, stop)))
+    return rows.select(F.xxhash64("_content", F.col("_base") + F.col("_at")).alias("_row"), *fv.FEATURE_NAMES)
+
+
+def tree_samples(features: DataFrame, n: int, trees: int, sample_size: int, seed: int) -> DataFrame:
     """(tree, draw, features): ``min(sample_size, n)`` rows per tree, without replacement.
 
-    Only about 1.5 times the rows each tree needs are ever exploded. One hash of
-    the row id tells whether any tree may draw the row at all; only then are the
-    draws of the trees made, each as likely as if it had been made alone. The
-    same rule holds for every number of rows.
+    A row's numbers are digits of the md5 of its id; a tree ranks the rows by linear functions of them modulo
+    a prime, so draws are plain arithmetic in any engine. Only about 1.5 times the rows each tree
+    needs are ever exploded: one number of the row tells whether any tree may draw it at all,
+    and only then are the draws of the trees made, each as likely as if it had been made
+    alone. The same rule holds for every number of rows.
     """
     size = min(sample_size, n)
     alone = min(1.0, (1.5 * size + 64.0) / n)
     some = 1.0 - (1.0 - alone) ** trees
-    rows = rows.filter(uniform_hash(F.col("_row"), F.lit(seed)) < some)
-    chance = alone / some
+    digest = F.md5(F.concat(F.lit(f"{seed}:row:"), F.col("_row").cast("string")))
+
+    def digits(start: int, count: int) -> Column:
+        return F.conv(F.substring("_digest", start, count), 16, 10).cast("long")
+
+    rows = with_row_ids(features).withColumn("_digest", digest)
+    rows = rows.filter(digits(17, 12) / float(1 << 48) < some)
+    rows = rows.withColumns({"_x": digits(1, 8) % PRIME, "_y": digits(9, 8) % PRIME}).drop("_digest")
+    factors = [F.lit(part) for part in draw_factors(trees, seed)]
+
+    def rank(tree: Column, at: int) -> Column:
+        a, b, c = (F.get(part, tree) for part in factors[at : at + 3])
+        return (a * F.col("_x") + b * F.col("_y") + c) % PRIME
+
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda tree: F.struct(
-            tree.alias("tree"), uniform_hash(F.col("_row"), tree, F.lit(seed + 1)).alias("draw")
-        ),
+        lambda tree: F.struct(tree.alias("tree"), (rank(tree, 0) * PRIME + rank(tree, 3)).alias("draw")),
     )
-    chosen = rows.withColumn("_draw", F.explode(F.filter(draws, lambda item: item["draw"] < chance)))
+    below = alone / some * float(PRIME) * float(PRIME)
+    chosen = rows.withColumn("_draw", F.explode(F.filter(draws, lambda item: item["draw"].cast("double") < below)))
     flat = chosen.select(
         F.col("_draw.tree").alias("tree"), F.col("_draw.draw").alias("draw"), "_row", *fv.FEATURE_NAMES
     )
@@ -65,7 +105,13 @@ def tree_samples(rows: DataFrame, n: int, trees: int, sample_size: int, seed: in
     return flat.withColumn("_order", order).filter(F.col("_order") <= size).drop("_order", "_row")
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
+def split_numbers(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two repeatable numbers in [0, 1): which feature a node splits, and where."""
+    name = f"{seed}:node:{tree}:{node}"
+    return _digits(name, 0, 12) / float(1 << 48), _digits(name, 12, 12) / float(1 << 48)
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, depth_limit: int) -> list[tuple]:
     """Nodes of one tree in heap numbering: children of i are 2i+1 and 2i+2."""
     nodes = []
     pending = [(0, 0, np.arange(len(x)))]
@@ -77,8 +123,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tup
         if len(rows) <= 1 or depth >= depth_limit or not len(splittable):
             nodes.append((node, -1, math.inf, len(rows), depth + average_path(len(rows))))
             continue
-        feature = int(rng.choice(splittable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        which, where = split_numbers(seed, tree, node)
+        feature = int(splittable[int(which * len(splittable))])
+        threshold = float(low[feature] + where * (high[feature] - low[feature]))
         if threshold >= high[feature]:
             threshold = float(low[feature])
         left = part[:, feature] <= threshold
@@ -95,8 +142,7 @@ def grow_trees(samples: DataFrame, sample_size: int, seed: int) -> DataFrame:
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
-        ordered = rows.sort_values("draw")[names].to_numpy(dtype=float)
-        nodes = _grow(ordered, np.random.default_rng([seed, tree]), depth_limit)
+        nodes = _grow(rows[names].to_numpy(dtype=float), seed, tree, depth_limit)
         grown = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "size", "path_length"])
         grown.insert(0, "tree", tree)
         return grown
@@ -104,27 +150,18 @@ def grow_trees(samples: DataFrame, sample_size: int, seed: int) -> DataFrame:
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
-def content_ids(events: DataFrame) -> DataFrame:
-    """Adds ``_row``: a hash of the row's content, and of its number among equal rows.
-
-    The same rows get the same ids however they are partitioned. Equal rows are
-    interchangeable, so it does not matter which of them gets which number.
-    """
-    plain = [F.col(f"`{name}`") for name, kind in events.dtypes if kind != "variant"]
-    variants = [F.to_json(f"`{name}`") for name, kind in events.dtypes if kind == "variant"]
-    keyed = events.withColumn("_content", F.xxhash64(*plain, *variants))
-    number = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
-    return keyed.withColumn("_row", F.xxhash64("_content", number)).drop("_content")
-
-
 def training_features(events: DataFrame, id_column: str | None = None) -> DataFrame:
-    """Written feature rows with a row id ``_row``.
+    """Written feature rows with a row id ``_row``, or with ``_content`` and ``_file`` from which it is made.
 
     Training reads the features three times (moments, samples, scores); the raw
     events are parsed and featurized once.
     """
-    keyed = content_ids(events) if id_column is None else events.withColumn("_row", F.col(id_column))
-    return written(extract_features(keyed, "_row"), "features")
+    if id_column is not None:
+        return written(extract_features(events.withColumn("_row", F.col(id_column)), "_row"), "features")
+    plain = [F.col(f"`{name}`") for name, kind in events.dtypes if kind != "variant"]
+    variants = [F.to_json(f"`{name}`") for name, kind in events.dtypes if kind == "variant"]
+    keyed = events.withColumn("_content", F.xxhash64(*plain, *variants))
+    return written(extract_features(keyed, "_content"), "features").withColumn("_file", F.col("_metadata.file_name"))
 
 
 class _Forest:

@@ -29,7 +29,7 @@ from .operators.parse import (
 from .operators.ranking import running_totals
 from .operators.rules import classify_techniques, technique_hits, with_catalog
 from .options import JobOptions
-from .plans.detect import detect, file_summary, ingest_files
+from .plans.detect import detect, file_summary, ingest_files, resolve_threshold
 from .plans.registry import ModelRegistry
 from .plans.train import calibration, fit_forest, train_model
 from .scratch import new_path
@@ -753,7 +753,7 @@ def jsonl_export(spark: SparkSession, folder: str) -> DataFrame:
 def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     events = access_log_events(spark, folder)
     model = ForestDetector.train(events, id_column="event_id")
-    return model.score(events).select("event_id", rounded("anomaly_score", 9).alias("anomaly_score"))
+    return model.score(events).select("event_id", rounded("anomaly_score").alias("anomaly_score"))
 
 
 @report
@@ -763,6 +763,32 @@ def iforest_training(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(calibration(scores, 1.0 - model.contamination))
 
 
+@report
+def iforest_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of a small forest."""
+    features = training_features(access_log_events(spark, folder), "event_id")
+    nodes = ForestDetector.fit(features, trees=20).nodes
+    split = F.col("feature") >= 0
+    return nodes.select(
+        "tree", "node", "feature", F.when(split, F.round("threshold", 6)).alias("threshold"), "size", rounded("path_length").alias("path_length"))
+
+
+@report
+def iforest_registered(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest trained, registered, read back as the newest model and used by its own threshold."""
+    events = access_log_events(spark, folder)
+    registry = ModelRegistry(spark, new_path(spark, "registry"))
+    train_model(events, "isolation_forest", registry, id_column="event_id", trees=20)
+    detector, metadata = registry.load_latest()
+    threshold = resolve_threshold(metadata, JobOptions())
+    found = detect(events, detector, threshold).agg(
+        F.count("*").alias("received"), F.count_if("is_anomaly").alias("anomalies"), F.max("model_version").alias("model_version"))
+    metrics = metadata["train_metrics"]
+    return found.select(
+        "received", "anomalies", "model_version", F.round(F.lit(threshold), 6).alias("threshold"),
+        F.round(F.lit(metrics["score_mean"]), 6).alias("score_mean"), F.lit(metrics["training_samples"]).cast("long").alias("training_samples"))
+
+
 @report
 def iforest_sample_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows at the root of each tree."""
@@ -839,7 +865,7 @@ def stream_summary(spark: SparkSession, folder: str) -> DataFrame:
     ingests = batches.agg(F.max(F.when(F.col("events") > 0, F.col("batch_id"))).alias("batch_id"))
     newest = batches.join(F.broadcast(ingests), "batch_id").select(F.col("ingest_ts").alias("newest_ts"))
     summary = mt.running_summary(batches).join(F.broadcast(newest)).join(F.broadcast(mt.last_ingest_time(batches)))
-    rejected = batches.agg(F.count_if("events = 0").alias("empty_batches"), F.sum("skipped").alias("skipped"))
+    rejected = batches.agg(F.count_if(F.col("events") == 0).alias("empty_batches"), F.sum("skipped").alias("skipped"))
     same = (F.col("last_ingest") == F.col("newest_ts")) & (F.unix_seconds("last_ingest") == F.col("last_ingest_unix"))
     return summary.join(F.broadcast(rejected)).select(
         "total_events", "anomalies", rounded("anomaly_rate").alias("anomaly_rate"), "empty_batches", "skipped", same.alias("time_of_last_event_batch"))

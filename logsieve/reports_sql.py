@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import fixed_values as fv
+from .forest_sql import forest_parts
 from .sources.access_log import ACCESS_LOG_SQL
 
 THRESHOLD = fv.BASELINE_THRESHOLD
@@ -725,6 +726,32 @@ ORACLES["stream_ingest"] = query(
     "SELECT count(*) AS received, count_if(is_anomaly)::BIGINT AS anomalies, 0::BIGINT AS skipped, "
     "count_if(is_anomaly)::BIGINT AS stored FROM pres",
 )
+PARTS["feat"] = ("ev", "SELECT event_id, label, " + ", ".join(f"({FEATURES[name]})::DOUBLE AS {name}" for name in fv.FEATURE_NAMES) + " FROM ev")
+
+
+def forest_query(select: str, **options: int) -> str:
+    """A statement over the forest's sub-queries."""
+    log = ",\n".join(f"{name} AS MATERIALIZED ({PARTS[name][1]})" for name in needed("feat"))
+    return f"WITH {log},\n" + ",\n".join(forest_parts(**options)) + f"\n{select}"
+
+
+LEVEL = 1.0 - fv.FOREST_CONTAMINATION
+ORACLES["iforest_nodes"] = forest_query(
+    f"SELECT tree::INTEGER AS tree, node::INTEGER AS node, feature::INTEGER AS feature, {r('threshold', 'threshold')}, size::INTEGER AS size, "
+    f"{r('path_length', 'path_length')} FROM nodes", trees=20)
+ORACLES["iforest_scores"] = forest_query(f"SELECT event_id, {r('score', 'anomaly_score')} FROM scored")
+ORACLES["iforest_training"] = forest_query(
+    f"SELECT {r('avg(score)', 'score_mean')}, {r('stddev_pop(score)', 'score_std')}, "
+    f"{r('quantile_cont(score, 0.90)', 'score_p90')}, {r('quantile_cont(score, 0.95)', 'score_p95')}, "
+    f"{r('quantile_cont(score, 0.99)', 'score_p99')}, {r(f'quantile_cont(score, {LEVEL})', 'threshold')}, "
+    f"{LEVEL}::DOUBLE AS threshold_quantile, count(*) AS training_samples FROM scored")
+ORACLES["iforest_auc"] = forest_query(
+    "SELECT round((sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)))::DOUBLE, 6) AS auc FROM ("
+    "SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ("
+    "SELECT score, count_if(label <> 'clean') AS pos, count_if(label = 'clean') AS neg FROM scored JOIN feat USING (event_id) GROUP BY 1))")
+ORACLES["iforest_registered"] = forest_query(
+    f"SELECT count(*) AS received, count_if(score >= t)::BIGINT AS anomalies, 'iforest' AS model_version, {r('any_value(t)', 'threshold')}, "
+    f"{r('avg(score)', 'score_mean')}, count(*) AS training_samples FROM scored, (SELECT quantile_cont(score, {LEVEL}) AS t FROM scored)", trees=20)
 ORACLES["stream_recent"] = query(
     "pres",
     "SELECT replace(strftime(event_ts, '%Y-%m-%d %H:%M:%S'), ' ', 'T') || '+00:00' AS timestamp, path, "

@@ -11,8 +11,6 @@ from .. import fixed_values as fv
 from ..functions.times import iso_text
 from ..schema import ANOMALY_COLUMNS
 
-FILES_PER_HOUR = 4
-
 
 def anomaly_rows(results: DataFrame, *kept: str) -> DataFrame:
     """Anomalies in the stored layout; an empty technique list is stored as null."""
@@ -26,25 +24,23 @@ def anomaly_rows(results: DataFrame, *kept: str) -> DataFrame:
 
 
 def store_anomalies(rows: DataFrame, path: str, run_id: str, spread: bool = True) -> None:
-    """Store one run's ``anomaly_rows`` (with ``event_ts``), one folder per UTC hour of the event.
+    """Store one run's ``anomaly_rows`` (with ``event_ts``) and what each of its files holds.
 
-    The run's folder is replaced as a whole if the run is repeated. ``_index`` keeps one row per run and hour
-    with the number of rows and their first and last event time; readers choose folders by it. An event
-    without a time has no hour. The rows of an hour are dealt over a few tasks, so a run leaves a few files per hour;
-    without ``spread`` the rows are written where they are, as suits a small batch of few hours.
+    The run's folder is replaced as a whole if the run is repeated. ``_index`` keeps one row per file with its
+    number of timed rows and their first and last time (in UTC, whatever offset the events had); readers choose files by it.
+    The rows are dealt over files by time; without ``spread`` they are written where they are, as suits a
+    small batch of a stream.
     """
     spark = rows.sparkSession
-    hour = F.floor(F.unix_micros("event_ts") / 3_600_000_000).alias("event_hour")
-    placed = rows.select("*", hour)
     if spread:
-        placed = placed.repartition("event_hour", F.pmod(F.xxhash64("event_ts", "path"), F.lit(FILES_PER_HOUR)))
+        rows = rows.repartitionByRange("event_ts").sortWithinPartitions("event_ts")
     own = f"{path}/run_id={run_id}"
-    placed.write.mode("overwrite").partitionBy("event_hour").parquet(own)
-    # The kinds are given, as a run without anomalies leaves no file to read them from.
-    stored = spark.read.schema(placed.schema).parquet(own)
-    hours = stored.groupBy("event_hour").agg(
-        F.count("*").alias("n"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
-    hours.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index/run_id={run_id}")
+    rows.write.mode("overwrite").parquet(own)
+    # The kinds are given, as a run without anomalies may leave no file to read them from.
+    stored = spark.read.schema(rows.schema).parquet(own).select("event_ts", F.col("_metadata.file_name").alias("file_name"))
+    files = stored.groupBy("file_name").agg(
+        F.count("event_ts").alias("n"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+    files.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index/run_id={run_id}")
 
 
 def append_anomalies(results: DataFrame, path: str, *order: str, run_id: str | None = None) -> None:
@@ -58,22 +54,25 @@ def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recent_stored(spark: SparkSession, path: str, newest_first: list[str], retained: int = fv.MAX_STORED_ANOMALIES, **limits: object) -> DataFrame:
-    """``recent_anomalies`` of a stored table, reading only the newest hours that hold enough rows.
+    """``recent_anomalies`` of a stored table, reading only files that can hold one of the newest rows.
 
-    ``newest_first`` begins with ``event_ts``, which the hours are cut from. The hours are taken from the
-    index, newest first, until they hold ``retained`` rows; rows without a time come last.
+    ``newest_first`` begins with ``event_ts``. The files are taken from the index by their first time, newest
+    first, until they hold ``retained`` rows: no row before the last of these times can be among the newest, and
+    neither can files that end before it.
     """
     if newest_first[:1] != ["event_ts"]:
         raise ValueError("the newest rows are found by event_ts")
-    index = spark.read.parquet(f"{path}/_index")
+    index = spark.read.parquet(f"{path}/_index").withColumn("run_id", F.col("run_id").cast("string"))
     upto, since = 0, None
-    for row in index.groupBy("event_hour").agg(F.sum("n").alias("n")).orderBy(F.desc_nulls_last("event_hour")).toLocalIterator():
-        upto, since = upto + row["n"], row["event_hour"]
+    for row in index.filter("n > 0").orderBy(F.desc("first_ts")).toLocalIterator():
+        upto, since = upto + row["n"], row["first_ts"]
         if upto >= retained:
             break
-    stored = read_anomalies(spark, path)
-    # Without enough rows that have a time, all hours are read.
-    newest = stored if since is None or upto < retained else stored.filter(F.col("event_hour") >= since)
+    if upto < retained:  # too few rows with a time: the others follow
+        return recent_anomalies(read_anomalies(spark, path), newest_first, retained=retained, **limits)
+    files = index.filter(F.col("last_ts") >= F.lit(since)).select(F.concat(F.lit(f"{path}/run_id="), "run_id", F.lit("/"), "file_name").alias("file"))
+    names = [row["file"] for row in files.toLocalIterator()]
+    newest = spark.read.option("basePath", path).parquet(*names).filter(F.col("event_ts") >= F.lit(since))
     return recent_anomalies(newest, newest_first, retained=retained, **limits)
 
 
