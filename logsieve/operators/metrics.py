@@ -226,6 +226,19 @@ def sliding_rates(
     )
 
 
+def duration_quantiles(batches: DataFrame, seconds: str = "duration_seconds") -> DataFrame:
+    """Quantiles of the batch durations over 5 minutes, every 15 seconds: window_start, quantile, value.
+
+    The batches are counted per step and bucket first; only these counts are repeated for the windows.
+    """
+    found = first_bound(F.col(seconds), fv.DURATION_BOUNDS).alias("le_found")
+    counts = batches.groupBy(time_bucket(F.col("ingest_ts")).alias("bucket"), found).agg(F.count("*").alias("n"))
+    rates = sliding_rates(counts, ["n"], ["le_found"])
+    whole = rates.withColumn("n", F.round(F.col("n_rate") * fv.RATE_WINDOW_SECONDS).cast("long"))
+    buckets = cumulative_buckets(whole, "le_found", "n", fv.DURATION_BOUNDS, ["window_start"])
+    return histogram_quantiles(buckets, by=["window_start"])
+
+
 def event_rates(cube: DataFrame) -> DataFrame:
     """Rate of all, normal and anomalous events per sliding window."""
     flag = F.col("is_anomaly")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..operators.metrics import ingest_summary
 from ..operators.parse import parse_access_logs
 from ..operators.rules import classify_techniques
 from ..options import JobOptions
 from ..scratch import written
-from ..sinks.anomalies import append_anomalies
+from ..sinks.anomalies import append_anomalies, recent_stored
 from ..sources.lines import existing_files, parsed_files
 from .registry import Detector, ModelRegistry
 
@@ -89,3 +90,10 @@ def ingest_files(
         events = scored.filter(F.col("reject_reason").isNull() & F.col("is_anomaly")).drop("reject_reason")
         append_anomalies(classify_techniques(events, F.col("is_anomaly")), anomaly_path, "file", run_id=run_id)
     return file_summary(scored)
+
+
+def recent_ingested(
+    spark: SparkSession, options: JobOptions, anomaly_path: str, newest_first: list[str], limit: int = fv.RECENT_LIMIT, min_score: float | None = None,
+) -> DataFrame:
+    """The newest stored anomalies, of as many as the options retain."""
+    return recent_stored(spark, anomaly_path, newest_first, retained=options.max_stored_anomalies, limit=limit, min_score=min_score)

@@ -22,7 +22,7 @@ MODEL_SCHEMA = (
     "model_type string, version string, trained_at string, feature_names array<string>, "
     "train_metrics struct<"
     + ", ".join(f"{name}: double" for name in METRIC_NAMES)
-    + ", training_samples: bigint>, path string"
+    + ", training_samples: bigint, skipped_lines: bigint>, path string"
 )
 
 
@@ -76,7 +76,7 @@ class ModelRegistry:
             version,
             now.isoformat(),
             fv.FEATURE_NAMES,
-            (*values, metrics.get("training_samples")),
+            (*values, metrics.get("training_samples"), metrics.get("skipped_lines")),
             path,
         )
         entry = self.spark.createDataFrame([row], MODEL_SCHEMA)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -59,9 +59,9 @@ def fit_forest(
 
 
 def train_model(
-    events: DataFrame, model_type: str, registry: ModelRegistry, **options: object
+    events: DataFrame, model_type: str, registry: ModelRegistry, seen: Observation | None = None, **options: object
 ) -> Row:
-    """Train, calibrate and register; returns the registry row."""
+    """Train, calibrate and register; returns the registry row. ``seen`` observes ``skipped`` lines while the events are read."""
     kind = detector_class(model_type)
     if kind is BaselineDetector:
         model, scores = fit_baseline(events)
@@ -70,9 +70,20 @@ def train_model(
         model, scores = fit_forest(events, **options)
         level = 1.0 - float(model.contamination)
     metrics = calibration(scores, level).first().asDict()
+    if seen is not None:
+        metrics["skipped_lines"] = seen.get["skipped"]
     return registry.save(model, model_type.lower(), metrics)
 
 
+def train_lines(lines: DataFrame, options: JobOptions, registry: ModelRegistry, **training: object) -> Row:
+    """Train on raw lines, whatever their number: bad lines are left out, and counted in the pass that reads them."""
+    parsed = parse_access_logs(lines, options.source_format, options.field_mapping, options.plain_patterns, mode="keep")
+    seen = Observation()
+    watched = parsed.observe(seen, F.count_if(F.col("reject_reason").isNotNull()).alias("skipped"))
+    events = watched.filter(F.col("reject_reason").isNull()).drop("reject_reason", *lines.columns)
+    return train_model(events, options.model_type, registry, seen, **training)
+
+
 def bootstrap_model(options: JobOptions, registry: ModelRegistry) -> Row | None:
     """Train from the bootstrap file; nothing happens if it is missing or holds no event."""
     if not options.bootstrap_path:

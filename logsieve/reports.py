@@ -29,14 +29,14 @@ from .operators.parse import (
 from .operators.ranking import running_totals
 from .operators.rules import classify_techniques, technique_hits, with_catalog
 from .options import JobOptions
-from .plans.detect import detect, file_summary, ingest_files, resolve_threshold
+from .plans.detect import detect, file_summary, ingest_files, recent_ingested, resolve_threshold
 from .plans.registry import ModelRegistry
-from .plans.train import calibration, fit_forest, train_model
+from .plans.train import calibration, fit_forest, train_lines, train_model
 from .scratch import new_path
-from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies, recent_stored
-from .sinks.export import json_lines, plain_lines, write_lines
+from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies
+from .sinks.export import json_lines, plain_lines, write_labelled_set, write_lines
 from .sources.access_log import access_log_events, access_log_view, as_events
-from .sources.lines import count_lines, line_batches, read_lines, stream_lines, strict_events
+from .sources.lines import count_lines, file_line_batches, line_batches, read_lines, stream_lines, strict_events
 from .streaming import rates
 from .streaming.ingest import start_ingest
 from .streaming.store import CountStore
@@ -270,6 +270,29 @@ def line_batch_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return batches.groupBy("batch_id").agg(F.count("*").alias("lines"))
 
 
+@report
+def file_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of lines numbered from real files, one file per host: their sizes, first and last lines."""
+    path = new_path(spark, "host-files")
+    lines = exported_plain(spark, folder, "event_id", "host")
+    lines.repartition("host").sortWithinPartitions("host", "event_id").select("host", "value").write.partitionBy("host").text(path)
+    batches = file_line_batches(spark, path, JobOptions().ingest_batch_size)
+    host = F.regexp_extract("file", "host=([^/]+)", 1).alias("host")
+    return batches.groupBy(host, "batch_id").agg(
+        F.count("*").alias("lines"), F.min_by("value", "line_no").alias("first_line"), F.max_by("value", "line_no").alias("last_line"))
+
+
+@report
+def training_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Both models trained on lines with bad ones among them: rows learned from and lines skipped."""
+    registry = ModelRegistry(spark, new_path(spark, "registry"))
+    path = line_files(spark, broken_plain(spark, folder))
+    for model_type, training in (("baseline", {}), ("isolation_forest", {"trees": 5})):
+        options = JobOptions(model_type=model_type, source_format="plain")
+        train_lines(read_lines(spark, path), options, registry, **training)
+    return registry.versions().select("model_type", "train_metrics.training_samples", "train_metrics.skipped_lines")
+
+
 @report
 def request_line_split(spark: SparkSession, folder: str) -> DataFrame:
     events = access_log_events(spark, folder)
@@ -568,6 +591,11 @@ def duration_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return mt.duration_histogram(ingested_batches(spark, folder))
 
 
+@report
+def duration_quantiles_5m(spark: SparkSession, folder: str) -> DataFrame:
+    return round_all(mt.duration_quantiles(ingested_batches(spark, folder)))
+
+
 @report
 def metric_severity(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(mt.metric_severity(cube(spark, folder), ingested_batches(spark, folder)))
@@ -705,6 +733,25 @@ def labelled_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select("event_id", "label", "method", "path", "status", "user_agent", "mix_order")
 
 
+@report
+def labelled_set_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A labelled set written as files, twice, and read back: events by file, label and status."""
+    from .plans.validate import labelled_events
+
+    events = access_log_events(spark, folder).drop("label")
+    templates = lab.sample_templates(events, "event_id", pick=small_pick)
+    attacks = lab.inject_attacks(events, "event_id", templates, small_pick)
+    mix = lab.labelled_mix(events, attacks, "event_id", None, small_pick)
+    path = new_path(spark, "labelled-set")
+    for _ in range(2):  # a rerun replaces the files
+        write_labelled_set(events, attacks, mix, path, "event_id")
+    parts = []
+    for name in ("clean", "attacks", "mixed"):
+        read, _ = labelled_events(read_lines(spark, f"{path}/{name}").select("value"))
+        parts.append(read.groupBy(F.lit(name).alias("set_file"), "label", "status").agg(F.count("*").alias("cnt")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @report
 def attack_categories(spark: SparkSession, folder: str) -> DataFrame:
     events = access_log_events(spark, folder).drop("label", "attributes")
@@ -853,7 +900,7 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 def stream_recent(spark: SparkSession, folder: str) -> DataFrame:
     """The newest anomalies read back from the table a stream has written."""
     anomalies, _ = ingested_stream(spark, folder)
-    newest = recent_stored(spark, anomalies, ["event_ts", "path", "anomaly_score"], limit=50, min_score=0.9)
+    newest = recent_ingested(spark, JobOptions(), anomalies, ["event_ts", "path", "anomaly_score"], min_score=0.9)
     return newest.select("timestamp", "path", rounded("anomaly_score").alias("anomaly_score"))
 
 

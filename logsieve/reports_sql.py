@@ -765,6 +765,34 @@ ORACLES["stream_summary"] = query(
     f"{r('count_if(is_anomaly) / count(*)::DOUBLE', 'anomaly_rate')}, 1::BIGINT AS empty_batches, "
     "count_if(event_id % 97 = 0)::BIGINT AS skipped, true AS time_of_last_event_batch FROM pres",
 )
+ORACLES["file_batches"] = query(
+    "plain",
+    "SELECT host, batch_id, count(*) AS lines, arg_min(value, n) AS first_line, arg_max(value, n) AS last_line FROM ("
+    f"SELECT file AS host, value, n, n // {fv.INGEST_BATCH_SIZE} AS batch_id FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS n FROM plain)) GROUP BY 1, 2",
+)
+ORACLES["training_scan"] = query(
+    "broken",
+    "SELECT unnest(['baseline', 'isolation_forest']) AS model_type, training_samples, skipped_lines FROM (SELECT "
+    "count_if(event_id % 97 <> 0)::BIGINT AS training_samples, count_if(event_id % 97 = 0)::BIGINT AS skipped_lines FROM broken)",
+)
+ORACLES["labelled_set_files"] = query(
+    "ev attack",
+    "SELECT set_file, label, status, count(*) AS cnt FROM ("
+    "SELECT unnest(['clean', 'mixed']) AS set_file, 'clean' AS label, status FROM ev "
+    "UNION ALL SELECT unnest(['attacks', 'mixed']), label, status FROM attack) GROUP BY ALL",
+)
+ORACLES["duration_quantiles_5m"] = query(
+    "log",
+    quantiles(
+        "(SELECT window_start, le, count(*) FILTER (s <= le) AS cumulative FROM "
+        f"(SELECT unnest({fv.DURATION_BOUNDS}::DOUBLE[] || ['inf'::DOUBLE]) AS le), "
+        "(SELECT (epoch_us(taken) // 15000000) * 15 - o AS window_start, s FROM "
+        f"(SELECT max(event_ts) AS taken, round(sum(request_time) / 100, 6) AS s FROM log GROUP BY event_id // {fv.INGEST_BATCH_SIZE}), "
+        "(SELECT unnest(range(0, 300, 15)) AS o)) GROUP BY 1, 2)",
+        "window_start",
+    ),
+)
 ORACLES["strict_file_scan"] = query("log", "SELECT method, status, count(*) AS cnt FROM log GROUP BY 1, 2")
 ORACLES["file_line_counts"] = query("broken", "SELECT count(*) AS lines FROM broken")
 ORACLES["multi_file_ingest"] = query(

@@ -5,9 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..operators.parse import nonblank_lines, parse_access_logs
 
 logger = logging.getLogger(__name__)
@@ -78,6 +79,28 @@ def line_batches(lines: DataFrame, order_by: str, batch_size: int) -> DataFrame:
     )
 
 
+def file_line_batches(spark: SparkSession, paths: str | Sequence[str], batch_size: int = fv.INGEST_BATCH_SIZE) -> DataFrame:
+    """(value, file, line_no, batch_id): the lines of each file with their dense number, blank ones not counted,
+    in consecutive batches.
+
+    A split of a file is known by its first byte. Lines are counted per split, the counts of the splits before it
+    give a split its first number, and only inside a split, which is bounded by
+    ``spark.sql.files.maxPartitionBytes``, lines are numbered one by one.
+    """
+    if batch_size <= 0:
+        raise ValueError("batch_size must be greater than zero")
+    names = [paths] if isinstance(paths, str) else list(paths)
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split")]
+    lines = nonblank_lines(spark.read.text(names).select("value", *split, F.monotonically_increasing_id().alias("_at")))
+    counts = lines.groupBy("file", "_split").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_at")) - 1
+    numbered = lines.withColumn("_inside", inside).join(starts, ["file", "_split"])
+    number = F.col("_first") + F.col("_inside")
+    return numbered.select("value", "file", number.alias("line_no"), F.floor(number / F.lit(batch_size)).alias("batch_id"))
+
+
 def labelled_lines(lines: DataFrame) -> DataFrame:
     """JSON lines with ``label`` taken from ``_label`` (``clean`` when absent).
 
