@@ -32,7 +32,7 @@ from .options import JobOptions
 from .plans.detect import detect, file_summary, ingest_files, recent_ingested, resolve_threshold
 from .plans.registry import ModelRegistry
 from .plans.train import calibration, fit_forest, train_lines, train_model
-from .scratch import new_path
+from .scratch import new_path, written
 from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies
 from .sinks.export import json_lines, plain_lines, write_labelled_set, write_lines
 from .sources.access_log import access_log_events, access_log_view, as_events
@@ -531,7 +531,11 @@ def event_counters(spark: SparkSession, folder: str) -> DataFrame:
 def ingested_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The batch table of a replayed ingest: 500 events a batch, taken in when its last event had
     come, with a hundredth of its requests' seconds as the time it took."""
-    events = predicted(spark, folder).withColumn("batch_id", F.floor(F.col("event_id") / fv.INGEST_BATCH_SIZE))
+    return replayed_batches(predicted(spark, folder))
+
+
+def replayed_batches(scored: DataFrame) -> DataFrame:
+    events = scored.withColumn("batch_id", F.floor(F.col("event_id") / fv.INGEST_BATCH_SIZE))
     counted = events.groupBy("batch_id").agg(
         F.count("*").alias("events"), F.count_if("is_anomaly").alias("anomalies"),
         F.max("event_ts").alias("ingest_ts"), F.round(F.sum("request_time") / 100, 6).alias("duration_seconds"),
@@ -539,6 +543,12 @@ def ingested_batches(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("anomaly_rate", F.col("anomalies") / F.col("events"))
 
 
+def scored_once(spark: SparkSession, folder: str) -> DataFrame:
+    """What the metrics need of the scored log, stored, as they read it more than once."""
+    columns = ["event_id", "event_ts", "status", "request_time", "anomaly_score", "is_anomaly", "mitre_techniques"]
+    return written(results(spark, folder).select(columns), "scored")
+
+
 def batch_rates(spark: SparkSession, folder: str) -> DataFrame:
     batch = F.floor(F.col("event_id") / fv.INGEST_BATCH_SIZE).alias("batch_id")
     return mt.event_counters(mt.metric_cube(predicted(spark, folder), batch), "batch_id")
@@ -598,12 +608,14 @@ def duration_quantiles_5m(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def metric_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return round_all(mt.metric_severity(cube(spark, folder), ingested_batches(spark, folder)))
+    scored = scored_once(spark, folder)
+    return round_all(mt.metric_severity(mt.metric_cube(scored), replayed_batches(scored)))
 
 
 @report
 def metric_series(spark: SparkSession, folder: str) -> DataFrame:
-    table = mt.metric_table(cube(spark, folder), ingested_batches(spark, folder))
+    scored = scored_once(spark, folder)
+    table = mt.metric_table(mt.metric_cube(scored), replayed_batches(scored))
     labels = [F.col("labels")[name].alias(name) for name in ("status_class", "technique_id", "tactic")]
     return table.select("metric", *labels, "le", rounded("value", 3).alias("value"))
 
@@ -854,7 +866,7 @@ def iforest_auc(spark: SparkSession, folder: str) -> DataFrame:
 # --- Streaming ---------------------------------------------------------------
 
 
-def event_stream(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, files: int = 2) -> DataFrame:
     """The access log as a stream: ``events`` cut by time into files, one file a batch."""
     events = spark.read.parquet(f"{folder}/events.parquet")
     path = new_path(spark, "event-files")
@@ -868,18 +880,23 @@ def event_stream(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
 
 
 def ingested_stream(spark: SparkSession, folder: str, rejected: bool = False) -> tuple[str, str]:
-    """The plain export streamed in, scored and stored, a file a batch: the anomaly table and the batch table.
+    """The plain export streamed in, scored and stored, a few files a batch: the anomaly table and the batch table.
 
-    ``rejected`` adds a last file without a good line."""
+    ``rejected`` adds a last batch without a good line."""
     inbox, anomalies = new_path(spark, "inbox"), new_path(spark, "anomalies")
     batches, checkpoint = new_path(spark, "batches"), new_path(spark, "ingest-checkpoint")
-    exported_plain(spark, folder).coalesce(3).write.text(inbox)
+    write_lines(exported_plain(spark, folder), inbox)
     model = BaselineDetector.train(parse_access_logs(read_lines(spark, inbox), "plain"))
-    if rejected:
-        broken_plain(spark, folder).filter(F.col("event_id") % 97 == 0).select("value").coalesce(1).write.mode("append").text(inbox)
     options = JobOptions(source_format="plain")
-    stream = stream_lines(spark, inbox, files_per_trigger=1)
-    start_ingest(stream, model, THRESHOLD, options, anomalies, batches, checkpoint).awaitTermination()
+
+    def run() -> None:
+        stream = stream_lines(spark, inbox, files_per_trigger=4)
+        start_ingest(stream, model, THRESHOLD, options, anomalies, batches, checkpoint).awaitTermination()
+
+    run()
+    if rejected:
+        write_lines(broken_plain(spark, folder).filter(F.col("event_id") % 97 == 0).coalesce(1), inbox, mode="append")
+        run()
     return anomalies, batches
 
 

@@ -52,7 +52,7 @@ def test_stream_equals_batch(spark, folder, tmp_path):
 
 def test_bucket_counts_give_sliding_windows(spark, folder, tmp_path):
     status = mt.status_class(F.col("status")).alias("status_class")
-    buckets = rates.bucket_counts(event_stream(spark, folder), "event_ts", status)
+    buckets = rates.bucket_counts(event_stream(spark, folder, files=4), "event_ts", status)
     store = rates.bucket_store(spark, str(tmp_path / "r"), "status_class", merge_every=2)
     rates.start_updates(buckets, store, str(tmp_path / "rc")).awaitTermination()
     window = F.window("event_ts", "300 seconds", "15 seconds")
