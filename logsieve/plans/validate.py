@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators.parse import parse_access_logs
@@ -47,3 +50,35 @@ def evaluate(labelled: DataFrame, detector: Detector, train_threshold: float) ->
         "at_youden": ev.confusion_at(counts, cut["threshold"]),
         "category_recall": ev.category_recall(scores, best["threshold"], cut["threshold"]),
     }
+
+
+# Tables of the long report and the SQL that names a row in them; the ROC curve stays a table of its own.
+LONG_KEYS = {
+    "totals": "''",
+    "categories": "category",
+    "distribution": "class",
+    "at_train_threshold": "''",
+    "auc": "''",
+    "sweep": "concat_ws(' ', format_string('%.2f', threshold), nullif(marker, ''))",
+    "best_f1": "''",
+    "youden": "''",
+    "at_best_f1": "''",
+    "at_youden": "''",
+    "category_recall": "category",
+}
+
+
+def long_report(labelled: DataFrame, detector: Detector, train_threshold: float) -> DataFrame:
+    """The whole report as one table: section, item within it, measure and value.
+
+    Events are scored once; every section reads the same written score counts.
+    """
+    tables = evaluate(labelled, detector, train_threshold)
+    parts = []
+    for section, key in LONG_KEYS.items():
+        table = tables[section]
+        names = [name for name, kind in table.dtypes if kind != "string"]
+        rows = table.select(F.expr(key).alias("item"), *[F.col(name).cast("double").alias(name) for name in names])
+        tall = rows.unpivot("item", names, "measure", "value")
+        parts.append(tall.select(F.lit(section).alias("section"), "item", "measure", "value"))
+    return reduce(DataFrame.unionByName, parts)

@@ -29,9 +29,10 @@ from .operators.parse import (
 from .operators.ranking import running_totals
 from .operators.rules import classify_techniques, technique_hits, with_catalog
 from .options import JobOptions
-from .plans.detect import detect, file_summary, ingest_files, recent_ingested, resolve_threshold
+from .plans.detect import detect, file_summary, ingest_files, ingest_posted, recent_ingested, resolve_threshold
 from .plans.registry import ModelRegistry
 from .plans.train import calibration, fit_forest, train_lines, train_model
+from .plans.validate import labelled_events, long_report
 from .scratch import new_path, written
 from .sinks.anomalies import anomaly_rows, read_anomalies, recent_anomalies
 from .sinks.export import json_lines, plain_lines, write_labelled_set, write_lines
@@ -263,6 +264,21 @@ def multi_file_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return summary.filter("file is null").drop("file").join(F.broadcast(stored))
 
 
+@report
+def posted_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Posted lines scored by the registered model and stored; a repeated post of the same run changes nothing."""
+    registry = ModelRegistry(spark, new_path(spark, "registry"))
+    lines = exported_plain(spark, folder)
+    train_model(parse_access_logs(lines, "plain"), "baseline", registry)
+    detector, metadata = registry.load_latest()
+    anomalies = new_path(spark, "anomalies")
+    for _ in range(2):
+        summary = ingest_posted(lines, detector, metadata, JobOptions(source_format="plain"), anomalies, run_id="one")
+    stored = read_anomalies(spark, anomalies).agg(F.count("*").alias("stored"))
+    named = F.col("model_version") == metadata["version"]
+    return summary.withColumn("registered_version", named).drop("model_version").join(F.broadcast(stored))
+
+
 @report
 def line_batch_sizes(spark: SparkSession, folder: str) -> DataFrame:
     lines = exported_plain(spark, folder, "event_id")
@@ -726,6 +742,16 @@ def score_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select(rounded("anomaly_score", 9).alias("anomaly_score"), "n", "n_before", "n_total")
 
 
+@report
+def validation_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A registered model judged on the labelled log, at its own calibrated threshold: the whole report as one table."""
+    events = access_log_events(spark, folder)
+    registry = ModelRegistry(spark, new_path(spark, "registry"))
+    train_model(events, "baseline", registry)
+    detector, metadata = registry.load_latest()
+    return round_all(long_report(events, detector, resolve_threshold(metadata, JobOptions())))
+
+
 # --- Labelled sets and exports -----------------------------------------------
 
 
@@ -748,8 +774,6 @@ def labelled_mix(spark: SparkSession, folder: str) -> DataFrame:
 @report
 def labelled_set_files(spark: SparkSession, folder: str) -> DataFrame:
     """A labelled set written as files, twice, and read back: events by file, label and status."""
-    from .plans.validate import labelled_events
-
     events = access_log_events(spark, folder).drop("label")
     templates = lab.sample_templates(events, "event_id", pick=small_pick)
     attacks = lab.inject_attacks(events, "event_id", templates, small_pick)
@@ -775,8 +799,6 @@ def attack_categories(spark: SparkSession, folder: str) -> DataFrame:
 @report
 def labelled_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled JSON lines read back: events per label and level."""
-    from .plans.validate import labelled_events
-
     events = access_log_events(spark, folder)
     own = F.when(F.col("label") != "clean", F.col("label"))
     lines = json_lines(events, "event_id", extra={"_label": own})

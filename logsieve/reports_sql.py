@@ -803,3 +803,68 @@ ORACLES["multi_file_ingest"] = query(
     "FROM good JOIN gcnt c USING (template)) g USING (event_id), "
     "(SELECT quantile_cont(1::DOUBLE - c.cnt::DOUBLE / (SELECT max(cnt) FROM gcnt), 0.95) AS threshold FROM good JOIN gcnt c USING (template))",
 )
+ORACLES["posted_ingest"] = query(
+    "ptpl pcnt",
+    "SELECT count(*) AS received, count_if(score >= threshold)::BIGINT AS anomalies, true AS registered_version, "
+    "count_if(score >= threshold)::BIGINT AS stored FROM (SELECT *, quantile_cont(score, 0.95) OVER () AS threshold FROM ("
+    "SELECT 1::DOUBLE - c.cnt::DOUBLE / (SELECT max(cnt) FROM pcnt) AS score FROM ptpl JOIN pcnt c USING (template)))",
+)
+
+
+def ratios_at(threshold: str) -> str:
+    """Confusion counts and ratios at a threshold given by a sub-query."""
+    sides = ", ".join(
+        f"coalesce(sum({side}) FILTER (score {sign} {threshold}), 0)::DOUBLE AS {name}"
+        for name, side, sign in (("tp", "pos", ">="), ("fp", "neg", ">="), ("fn", "pos", "<"), ("tn", "neg", "<"))
+    )
+    return (
+        "SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM ("
+        "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, "
+        f"CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM (SELECT {sides} FROM lab))"
+    )
+
+
+def tall(section: str, measures: str, source: str, item: str = "''") -> str:
+    """Rows of a table as (section, item, measure, value)."""
+    pairs = ", ".join(f"{{'measure': '{name}', 'value': ({name})::DOUBLE}}" for name in measures.split())
+    return (
+        f"SELECT '{section}' AS section, item, u.measure, round(u.value, 6) AS value FROM ("
+        f"SELECT {item} AS item, unnest([{pairs}]) AS u FROM ({source}))"
+    )
+
+
+PARTS["train"] = ("sc", "SELECT quantile_cont(score, 0.95) AS threshold FROM sc")
+PARTS["best"] = (
+    "sweep train",
+    "SELECT CASE WHEN f1 > 0 THEN s.threshold ELSE t.threshold END AS threshold, f1 FROM "
+    "(SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1) s, train t",
+)
+PARTS["youden"] = (
+    "roc", "SELECT threshold, fpr, tpr, tpr - fpr AS j FROM roc ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1",
+)
+CONFUSION = "tp fp fn tn precision recall fpr accuracy f1"
+SWEEP_ITEM = "concat_ws(' ', printf('%.2f', threshold), nullif(marker, ''))"
+ORACLES["validation_report"] = query(
+    "best youden",
+    " UNION ALL ".join([
+        tall("totals", "n_total n_clean n_attack", "SELECT sum(pos + neg) AS n_total, sum(neg) AS n_clean, sum(pos) AS n_attack FROM lab"),
+        tall("categories", "total", "SELECT substr(label, 8) AS category, count(*) AS total FROM sc WHERE starts_with(label, 'attack:') GROUP BY 1", "category"),
+        tall("distribution", "n mean std min p50 p95 p99 max",
+             f"SELECT CASE WHEN label = 'clean' THEN 'clean' ELSE 'attack' END AS class, {DISTRIBUTION} FROM sc GROUP BY 1", "class"),
+        tall("at_train_threshold", CONFUSION, ratios_at("(SELECT threshold FROM train)")),
+        tall("auc", "auc", "SELECT sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM ("
+             "SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM lab)"),
+        tall("sweep", "threshold tp fp fn tn precision recall fpr accuracy f1",
+             "SELECT * FROM (SELECT s.*, CASE WHEN abs(s.threshold - b.threshold) < 0.005 THEN 'BEST F1' "
+             "WHEN abs(s.threshold - t.threshold) < 0.005 THEN 'TRAIN' ELSE '' END AS marker FROM sweep s, best b, train t) "
+             "WHERE marker <> '' OR threshold % 0.05::DOUBLE < 0.005", SWEEP_ITEM),
+        tall("best_f1", "threshold f1", "SELECT * FROM best"),
+        tall("youden", "threshold fpr tpr j", "SELECT * FROM youden"),
+        tall("at_best_f1", CONFUSION, ratios_at("(SELECT threshold FROM best)")),
+        tall("at_youden", CONFUSION, ratios_at("(SELECT threshold FROM youden)")),
+        tall("category_recall", "total detected_best detected_youden recall_best recall_youden",
+             "SELECT *, detected_best * 100.0 / total AS recall_best, detected_youden * 100.0 / total AS recall_youden FROM ("
+             "SELECT substr(label, 8) AS category, count(*)::DOUBLE AS total, count_if(score >= (SELECT threshold FROM best))::DOUBLE AS detected_best, "
+             "count_if(score >= (SELECT threshold FROM youden))::DOUBLE AS detected_youden FROM sc WHERE starts_with(label, 'attack:') GROUP BY 1)", "category"),
+    ]),
+)
