@@ -18,10 +18,29 @@ _ISO = (
     r"(?:(?s:.)([0-9]{2})(?:(:?)([0-9]{2})(?:\6([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?)?"
     + _ZONE + r"?)?$"
 )
+# Year, dash, week and day of a week date at the start of a text.
+_WEEK = r"^([0-9]{4})(-?)W([0-9]{2})(?:\2([0-9])(?![0-9]))?"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _EPOCH = "timestamp_ntz '1970-01-01 00:00:00'"
 
 
+def calendar_text(text: Column) -> Column:
+    """A leading ISO week date as the calendar date; other texts as they are, null for a week or day that does not exist.
+
+    The first week of a year holds its 4th of January; a missing day is Monday.
+    """
+    year = F.regexp_extract(text, _WEEK, 1)
+    week = F.regexp_extract(text, _WEEK, 3).try_cast("int")
+    day = F.coalesce(F.regexp_extract(text, _WEEK, 4).try_cast("int"), F.lit(1))
+    first = F.date_trunc("week", F.concat(year, F.lit("-01-04")).try_cast("timestamp_ntz")).cast("date")
+    date = F.date_add(first, (week - 1) * 7 + day - 1)
+    # The Thursday of a week lies in the week's year.
+    real = F.year(F.date_add(first, week * 7 - 4)).cast("string") == F.ltrim(year, F.lit("0"))
+    valid = (week >= 1) & day.between(1, 7) & real
+    rest = F.substring(text, F.length(F.regexp_extract(text, _WEEK, 0)) + 1, F.length(text))
+    return F.when(F.instr(text, "W").between(5, 6), F.when(valid, F.concat(date.cast("string"), rest))).otherwise(text)
+
+
 def time_pieces(text: Column) -> Column:
     """Array of "", year, month, day, hour, minute, second, fraction, offset.
 
@@ -29,6 +48,7 @@ def time_pieces(text: Column) -> Column:
     format gives an array of one element. Only the slash format has a slash
     after the one or two digits of its day.
     """
+    text = calendar_text(text)
     order = _MARK.join(["", "$3", "$2", "$1", "$4", "$5", "$6", "0", "$7"])
     clf = F.regexp_replace(text, _CLF, order)
     order = _MARK.join(["", "$1", "$3", "$4", "$5", "$7", "$8", "$9", "$10"])

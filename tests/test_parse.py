@@ -184,3 +184,21 @@ def test_filters_stop_at_the_parser(spark):
     plan = events._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate")]
     assert "status" in above and plan.count("Filter") == 1
+
+
+def test_week_dates(spark):
+    from datetime import datetime
+
+    texts = [
+        "2024-W03-2T10:11:12+00:00", "2024W032T101112", "2024-W03", "2024W03", "2020-W53-7T01:02:03+02:00", "2015-W01T10:00",
+        "2025-W01-1T00:00", "2026-W01-4T23:59:59.123456-05:00", "2024-W01-1 00:00", "2021-W53-1", "2024-W00-1", "2024-W01-8",
+        "2024-W01-0", "2024-W5-1", "2024-W03-2x",
+    ]
+    rows = parsed(spark, [{"timestamp": text} for text in texts])
+    for at, text in enumerate(texts):
+        try:
+            expected = datetime.fromisoformat(text).replace(tzinfo=None)
+        except ValueError:
+            expected = None
+        assert rows[at]["event_local"] == expected, text
+        assert rows[at]["reject_reason"] == (None if expected else "bad timestamp"), text
