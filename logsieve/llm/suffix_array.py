@@ -5,7 +5,7 @@ removed. The text around shared anchors is brought together by home (see
 ``anchors``), and its suffixes are sorted there by prefix doubling. Runs of suffixes that
 share ``LENGTH`` bytes are the candidates; runs whose suffixes are all preceded by the
 same byte are skipped, since the run one byte earlier holds longer strings. The
-others are scanned with a stack over their common-prefix lengths: each interval of the tree whose
+others get their common prefixes in the order of the text, which keeps very long periodic texts linear, and are scanned with a stack over their common-prefix lengths: each interval of the tree whose
 suffixes are preceded by different bytes is a maximal repeat, and all suffixes of
 the interval are its occurrences.
 
@@ -31,6 +31,7 @@ LENGTH = 200
 INNER = 48
 HOME_ANCHORS = 20_000  # of one home in one task: about two million bytes
 BATCH_BYTES = 1_000_000
+SCAN = 1 << 16  # suffixes taken at a time
 FIRST = 7  # symbols in the first sort key, nine bits each
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -131,13 +132,37 @@ class SuffixArray:
         same[at] = equal
         return same
 
-    def common(self, a: int, b: int) -> int:
-        """Length of the common prefix of two suffixes."""
-        size = int(min(self.left[a], self.left[b]))
-        at, step = 0, 256
+    def prefixes(self, lows: np.ndarray, highs: np.ndarray, length: int) -> np.ndarray:
+        """The common prefixes with the next slot, for the slots low..high-1 of each of the runs that share ``length`` symbols.
+
+        Suffixes are taken in the order of the text: the one that begins a symbol later shares at most one symbol
+        less with its own neighbour, so what is known need not be compared again and periodic texts take linear time.
+        """
+        slots = np.concatenate([np.arange(low, high) for low, high in zip(lows, highs)] or [np.empty(0, np.int64)])
+        before, places = self.order[slots], self.order[slots + 1]
+        in_text = np.argsort(places, kind="stable")
+        sizes = np.minimum(self.left[before], self.left[places])
+        found = np.empty(len(slots), np.int64)
+        last, shared = -2, 0
+        for start in range(0, len(slots), SCAN):
+            part = in_text[start : start + SCAN]
+            near = [x[part].tolist() for x in (before, places, sizes)]
+            values = []
+            for a, b, size in zip(*near):
+                shared = self._common(a, b, size, max(length, shared - 1) if b == last + 1 else length)
+                values.append(shared)
+                last = b
+            found[part] = values
+        return found
+
+    def _common(self, a: int, b: int, size: int, known: int) -> int:
+        """Length of the common prefix of two suffixes, at most ``size``, of which ``known`` symbols are equal."""
+        symbols, at, step = self.symbols, known, 256
+        if at < size and symbols[a + at] != symbols[b + at]:
+            return at
         while at < size:
             stop = min(size, at + step)
-            differ = np.flatnonzero(self.symbols[a + at : a + stop] != self.symbols[b + at : b + stop])
+            differ = np.flatnonzero(symbols[a + at : a + stop] != symbols[b + at : b + stop])
             if len(differ):
                 return at + int(differ[0])
             at, step = stop, step * 2
@@ -157,9 +182,13 @@ def maximal_repeats(array: SuffixArray, length: int = LENGTH) -> Iterator[tuple[
     bounds = np.stack([lows, highs + 1], 1).ravel()
     padded = np.append(before, 0)
     least, most = np.minimum.reduceat(padded, bounds)[::2], np.maximum.reduceat(padded, bounds)[::2]
-    for low, high in zip(lows[(least != most) | (least < 0)].tolist(), highs[(least != most) | (least < 0)].tolist()):
+    several = (least != most) | (least < 0)
+    lows, highs = lows[several], highs[several]
+    shared, done = array.prefixes(lows, highs, length), 0
+    for low, high in zip(lows.tolist(), highs.tolist()):
         places, lefts = array.order[low : high + 1], before[low : high + 1].tolist()
-        prefixes = [array.common(int(a), int(b)) for a, b in zip(places[:-1], places[1:])]
+        prefixes = shared[done : done + high - low].tolist()
+        done += high - low
         # Frames: prefix length, first slot, the one preceding symbol (None: several), slots not yet reported.
         stack: list[list] = []
         for slot in range(len(places)):

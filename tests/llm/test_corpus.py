@@ -169,6 +169,30 @@ def test_language_steps_agree_on_long_texts(monkeypatch):
     assert language.predict(model, text)[0] == whole[0]
 
 
+def test_every_language_is_learned_from_whole_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiou"]
+    tongues = [["".join(rng.choices(syllables, k=3)) for _ in range(6)] for _ in range(250)]
+    noise = "12 34 " * 400  # what tells the languages apart stands behind it
+    rows = [(n * 250 + at, noise + " ".join(rng.choices(words, k=30)), f"l{at:03d}") for n in range(36) for at, words in enumerate(tongues)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in collected(language.identify(frame))}
+    held = [row for row in rows if found[row[0]]["held_out"]]
+    assert len({found[row[0]]["lang_pred"] for row in rows}) > 240
+    assert sum(found[row[0]]["lang_pred"] == row[2] for row in held) / len(held) > 0.9
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 750)
+    counts = Counter(r["lang"] for r in collected(language.labelled_sample(frame.unionByName(frame))))
+    assert len(counts) == 250 and max(counts.values()) <= 3
+
+
+def test_language_counts_of_long_texts(monkeypatch):
+    text = "the dog und the cat " * 50
+    whole = language.bag(text)
+    monkeypatch.setattr(language, "CHUNK", 200)
+    buckets, counts = language.bag(text)
+    assert buckets.tolist() == whole[0].tolist() and abs(counts.sum() - whole[1].sum()) < 100
+
+
 def test_language_rows(docs, rows, empty):
     found = collected(language.identify(docs))
     assert len(found) == len(rows)
@@ -380,6 +404,29 @@ def test_maximal_repeats():
             assert (wanted == got).all()
 
 
+def test_common_prefixes_of_periodic_texts(monkeypatch):
+    monkeypatch.setattr(suffix_array, "SCAN", 7)
+    for text in (b"a" * 300, b"abc" * 90, b"x" + b"ab" * 60 + b"y" + b"ab" * 60):
+        array = suffix_array.SuffixArray([text, b"b" + text[:40]], 5)
+        alike = array.alike(5)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], alike.astype(np.int8), [0]])))
+        lows, highs = edges[::2], edges[1::2]
+        slots = np.concatenate([np.arange(a, b) for a, b in zip(lows, highs)])
+        wanted = []
+        for slot in slots:
+            a, b = (array.symbols[p : p + array.left[p]].tolist() for p in array.order[slot : slot + 2])
+            wanted.append(next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+        assert array.prefixes(lows, highs, 5).tolist() == wanted
+
+
+def test_long_texts_of_one_letter_take_linear_time():
+    array = suffix_array.SuffixArray([b"a" * 400_000])
+    covered = 0
+    for size, _, fresh in suffix_array.maximal_repeats(array):
+        covered = max(covered, max(fresh) + size)
+    assert covered == 400_000
+
+
 # Sharding
 
 def test_shards_are_even_and_groups_stay_together(spark, docs, rows, empty):
@@ -441,6 +488,14 @@ def test_contaminated_documents(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench).count() == docs.count()
 
 
+def test_short_items_are_met_word_for_word(spark):
+    bench = spark.createDataFrame([(0, "Answer is forty two!"), (1, "blue moon rising"), (2, None), (3, "")], "item_id long, text string")
+    texts = ["the answer is: forty two, he said", "the answer is forty three", "a blue moon rising", "blue moon was rising", "two forty is answer", "blue moon", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in collected(decontaminate.contaminated(frame, bench))} == {(0, 0, 4), (2, 1, 3)}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()) == [1, 3, 4, 5, 6]
+
+
 def test_every_pattern_of_changed_words_is_found(spark):
     rng = random.Random(6)
     sizes = [5, 6, 7, 8, 9, 10, 11, 12, 13, 17]
