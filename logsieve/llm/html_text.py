@@ -5,6 +5,10 @@ and its neighbours' word count and link density, by the kind of element that hol
 and by whether it stands among the page's running text. A decision tree, grown here on the
 small table of labelled blocks below, keeps the blocks of the article.
 
+Names of classes are read one by one: a name such as ``with-sidebar`` or ``has-nav`` tells of the
+layout, not of the content, and where one name speaks for the article and another against it the
+text decides. A form that holds most of a page's running text is its frame, and no form of that page.
+
 Defined cases: null, empty and text-free pages give an empty text; broken or unclosed
 markup is read as far as it goes; repeated rows are pages of their own; an empty
 table gives no rows; other columns are ignored; no block is dropped for its length.
@@ -31,13 +35,15 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "acronym",
 }
-# Elements around the article. 1: never article, 2: article.
-HOLDERS = {"nav": 1, "header": 1, "footer": 1, "aside": 1, "form": 1, "dialog": 1, "menu": 1, "article": 2, "main": 2}
+# Elements around the article. 1: never article, 2: article, 3: form.
+HOLDERS = {"nav": 1, "header": 1, "footer": 1, "aside": 1, "form": 3, "dialog": 1, "menu": 1, "article": 2, "main": 2}
 HINT = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscri\w*|sidebar|side|widget|related|"
     r"recommend\w*|share|sharing|social|comment\w*|reply|replies|discussion|disqus|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|header|masthead|"
     r"footer|copyright|legal|login|signup|search|toolbar|tags?)(?:$|[-_ ])", re.I,
 )
+# Names that tell what a page has or what a text is about, not what the element is.
+LAYOUT = re.compile(r"(?:has|with|without|no|is|tag|tagged|category|format|layout)[-_]", re.I)
 GOOD_HINT = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|main|body|text)(?:$|[-_ ])", re.I)
 ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "dialog": 1, "form": 1, "main": 2, "article": 2}
 
@@ -46,24 +52,47 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=
 SPACE = re.compile(r"\s+")
 
 
+UNKNOWN, NEVER, ARTICLE, FORM = range(4)
+
+
+def named_kind(names: str, kind: int) -> int:
+    """The kind of an element of that kind by its tag, once its class or id is read."""
+    words = [name for name in names.split() if not LAYOUT.match(name)]
+    bad = [bool(HINT.search(name)) for name in words]
+    good = any(GOOD_HINT.search(name) and not against for name, against in zip(words, bad))
+    if any(bad):
+        return kind if good else NEVER
+    return ARTICLE if good and kind == UNKNOWN else kind
+
+
 def holder_kind(tag: str, attributes: str) -> int:
-    """0 unknown, 1 never article, 2 article."""
-    kind = HOLDERS.get(tag, 0)
+    """UNKNOWN, NEVER article, ARTICLE, or FORM: not article unless it frames the page."""
+    kind = HOLDERS.get(tag, UNKNOWN)
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return 1
+                return NEVER
             if name == "role":
                 kind = ROLES.get(value.lower(), kind)
             elif name in ("class", "id") and tag not in ("body", "html"):
-                if HINT.search(value):
-                    kind = 1
-                elif kind == 0 and GOOD_HINT.search(value):
-                    kind = 2
+                kind = named_kind(value, kind)
     return kind
 
 
+def running(words: int, linked: int) -> bool:
+    """Whether a block is running text."""
+    return words >= 20 and linked < 0.3 * words
+
+
+def framed(found: list[tuple[str, int, int, int, bool]]) -> list[tuple[str, int, int, int, bool]]:
+    """The blocks with their forms decided: UNKNOWN where forms hold more running text than the rest of the page."""
+    inside = sum(b[1] for b in found if b[3] == FORM and running(b[1], b[2]))
+    outside = sum(b[1] for b in found if b[3] in (UNKNOWN, ARTICLE) and running(b[1], b[2]))
+    kind = UNKNOWN if inside > outside else NEVER
+    return [(text, words, linked, kind if holder == FORM else holder, heading) for text, words, linked, holder, heading in found]
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, words, linked words, holder, heading) of every block, in order."""
     out: list[tuple[str, int, int, int, bool]] = []
@@ -79,9 +108,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             words = len(text.split(" "))
             links = len(html.unescape(" ".join(linked)).split())
             kinds = [k for _, k in stack if k]
-            kind = 0
+            kind = UNKNOWN
             for k in kinds:  # nothing inside a menu, an advert or an unseen element is article
-                kind = k if kind != 1 else kind
+                if kind != NEVER and not (kind == ARTICLE and k == FORM):
+                    kind = k
+                elif kind == ARTICLE:
+                    kind = NEVER  # a form within an article
             out.append((text, words, min(links, words), kind, bool(heading)))
         parts.clear()
         linked.clear()
@@ -128,8 +160,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading += 1
             kind = holder_kind(tag, attributes)
-            if tag == "header" and any(k == 2 for _, k in stack):  # the head of an article
-                kind = 0
+            if tag == "header" and any(k == ARTICLE for _, k in stack):  # the head of an article
+                kind = UNKNOWN
             stack.append((tag, kind))
         elif end:
             tag = end.lower()
@@ -149,7 +181,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                     del stack[i:]
                     break
     close()
-    return out
+    return framed(out)
 
 
 FEATURES = ["holder_no", "holder_yes", "words", "density", "before_words", "before_density", "after_words", "after_density", "heading", "inside"]
