@@ -90,31 +90,30 @@ class WordTokenizer:
                 raw, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
                 self._young.update((word, raw[a:b]) for word, a, b in zip(part, edges, edges[1:]))
 
-    def _recall(self, words: set[bytes]) -> list[bytes]:
+    def _recall(self, words: set[bytes]) -> set[bytes]:
         """Takes words over from the old generation; gives those that are unknown."""
-        young, old, unknown = self._young, self._old, []
-        for word in words:
-            if word not in young:
-                ids = old.get(word)
-                if ids is None:
-                    unknown.append(word)
-                else:
-                    young[word] = ids
-        return unknown
+        words = words.difference(self._young)  # looks up the words; difference_update would walk all that is remembered
+        kept = self._old.keys() & words
+        if not kept:
+            return words
+        self._young.update(zip(kept, map(self._old.__getitem__, kept)))
+        return words - kept
 
     def _learn(self, words: set[bytes]) -> None:
-        split, needed = {}, set()
+        split, needed = [], set()
         for word in self._recall(words):
             core = word.rstrip(END_MARKS)
             if core != word and core and A <= core[-1] <= Z and b"<|" not in word:
-                split[word] = core, word[len(core) :]
-                needed.update(split[word])
+                tail = word[len(core) :]
+                split.append((word, core, tail))
+                needed.add(core)
+                needed.add(tail)
             else:
                 needed.add(word)
         if needed:
-            self._encode(self._recall(needed))
+            self._encode(list(self._recall(needed)))
         young = self._young
-        for word, (core, tail) in split.items():
+        for word, core, tail in split:
             young[word] = young[core] + young[tail]
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -126,9 +125,7 @@ class WordTokenizer:
             words.update(split[-1])
         if len(self._young) + len(words) > self._limit:
             self._old, self._young = self._young, {}
-        words.difference_update(self._young)
-        if words:
-            self._learn(words)
+        self._learn(words)
         ids = self._young.__getitem__
         return [b"".join(map(ids, run)) for run in split]
 

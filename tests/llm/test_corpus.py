@@ -149,6 +149,30 @@ def test_pages_with_odd_rows(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+RUN = "Words of running text go on and on for long, and then for some more, until there are well over twenty of them."
+MENU = "<nav><a href=/>Home</a></nav>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<div class='content with-sidebar'><p>{RUN}</p></div><div class=sidebar><p>Other words</p></div>",
+    f"<main class='has-nav'><article><p>{RUN}</p></article></main>",
+    f"<form id=page><div><p>{RUN}</p></div><div class=footer>Foot words</div></form>",
+    f"<form><main><p>{RUN}</p></main></form>",
+    f"<article class='post tag-news tags'><p>{RUN}</p></article>",
+    f"<section class='story side'><p>{RUN}</p></section>",
+    f"<article><p>{RUN}</p><form><label>Name</label><p>{RUN} Send us your mail.</p></form></article>",
+    f"<article><p>{RUN}</p></article><div class=comments><article class=comment><p>{RUN}</p></article></div>",
+    f"<article><p>{RUN}</p></article><form class=newsletter><p>{RUN}</p></form>",
+])
+def test_wrapped_articles_keep_their_text(body):
+    assert html_text.main_text(f"<body>{MENU}{body}<footer>Copyright</footer></body>") == RUN
+
+
+def test_very_long_page():
+    page = f"<body>{MENU}<main>" + f"<p>{RUN}</p>" * 50_000 + "</main></body>"
+    assert html_text.main_text(page) == "\n".join([RUN] * 50_000)
+
+
 # Language
 
 def test_language_on_held_out_rows():
