@@ -11,8 +11,9 @@ another component than their leader are compared with the whole place later.
 
 Links come in two rounds. First every set points to the similar set of smallest rank, one
 link for each set, so a group of copies becomes a star and not a clique. The links
-are confirmed on full sets, and components are formed. Then all pairs that are similar by
-sketch and still in different components are confirmed as well.
+are confirmed on full sets, and components are formed. Then the sets that resemble a set of another
+component by sketch go to their leaves once more, as full sets, are compared there, and the links that
+join components come out: fewer than there are sets.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; a null
 doc_id counts as larger than any other; rows with equal doc_id are documents of their own;
@@ -265,29 +266,81 @@ def point(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(ids[has]), pa.array(rank[best[has]]), pa.array(ids[best[has]]), pa.array(score[has])], schema=schema)
 
 
-def cross(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All similar pairs of a leaf whose sets are in different components, with the leaf."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64()), ("chunk", pa.int32())])
+def suspects(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of a leaf that resemble a set of another component there, one row for each, with the leaf."""
+    schema = pa.schema([("place", pa.int64()), ("chunk", pa.int32()), ("id", pa.int64()), ("part", pa.int64())])
     for ids, sketches, opens, extra in _leaves(source):
-        ids, parts = np.array(ids), np.array([part for part, _, _ in extra])
-        where = extra[0][1:]
+        parts = np.array([part for part, _, _ in extra])
+        place, chunk = extra[0][1:]
         kinds, part = np.unique(parts, return_inverse=True)
         if len(kinds) < 2:
             continue
         # Sets outside the largest component are compared with all later ones.
         largest = np.bincount(part).argmax()
         order = np.argsort(part == largest, kind="stable")
-        ids, sketches, opens, part = ids[order], sketches[order], opens[order], part[order]
+        ids, sketches, opens, part = np.array(ids)[order], sketches[order], opens[order], part[order]
+        marked = np.zeros(len(ids), bool)
         for at in range(int((part != largest).sum())):
             later = at + 1 + np.flatnonzero((part[at + 1 :] != part[at]) & (opens[at] | opens[at + 1 :]))
             if len(later):
                 close = later[likeness(sketches[at], sketches[later]) >= NEAR]
-                if len(close):
-                    a = np.full(len(close), ids[at])
-                    n = len(close)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.minimum(a, ids[close])), pa.array(np.maximum(a, ids[close])),
-                        pa.array(np.full(n, where[0])), pa.array(np.full(n, where[1]), pa.int32())], schema=schema)
+                marked[close] = True
+                marked[at] |= len(close) > 0
+        n = int(marked.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, place)), pa.array(np.full(n, chunk), pa.int32()), pa.array(ids[marked]),
+                pa.array(kinds[part[marked]])], schema=schema)
+
+
+def joined(members: list[np.ndarray], parts: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions that are linked on full sets and join the components (``parts``) of these sets wherever
+    a link does; pairs that are joined already are left out, so there are fewer pairs than sets."""
+    order = np.argsort([len(one) for one in members], kind="stable")
+    sizes = np.array([len(members[i]) for i in order])
+    label = parts[order].copy()
+    codes = np.unique(np.concatenate([members[i] for i in order]), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    seen = np.zeros(len(codes), bool)
+    out = []
+    for at in range(len(order) - 1):
+        # Sets are in order of size, and a link allows no more than 100 / PERCENT times this one's.
+        end = int(np.searchsorted(sizes, sizes[at] * 100 // PERCENT, "right"))
+        if end <= at + 1 or (label[at + 1 : end] == label[at]).all():
+            continue
+        mine = codes[starts[at] : starts[at + 1]]
+        seen[mine] = True
+        hits = seen[codes[starts[at + 1] : starts[end]]]
+        both = np.add.reduceat(hits, starts[at + 1 : end] - starts[at + 1], dtype=np.int64)
+        seen[mine] = False
+        for other in at + 1 + np.flatnonzero(100 * both >= PERCENT * (sizes[at] + sizes[at + 1 : end] - both)):
+            if label[other] != label[at]:
+                out.append((int(order[at]), int(order[other])))
+                label[label == label[other]] = label[at]
+    return out
+
+
+def settle(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a and b of the links that join components of a leaf, from rows (place, chunk, id, part, members) in order of leaves."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([row[0] for row in rows])
+        found = joined([_unpacked(row[2]) for row in rows], np.unique([row[1] for row in rows], return_inverse=True)[1])
+        if found:
+            a, b = ids[np.array(found)].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    now, rows = None, []
+    for batch in source:
+        for place, chunk, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            if (place, chunk) != now:
+                if len(rows) > 1:
+                    yield from links(rows)
+                now, rows = (place, chunk), []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield from links(rows)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,24 +359,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", linked("x", "y").alias("linked"))
 
 
-def confirmed_in_leaves(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a and b of the pairs (a, b, place, chunk) that are linked. A set is sent once to each leaf in
-    which it has a pair, not once for each pair."""
-
-    def check(sides: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        known = {one: _unpacked(raw) for one, raw in zip(found["id"], found["members"])}
-        keep = []
-        for a, b in zip(sides["a"], sides["b"]):
-            x, y = known[a], known[b]
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        return sides.loc[keep, ["a", "b"]]
-
-    sides = pairs.select(F.col("place").alias("at"), F.col("chunk").alias("of"), F.explode(F.array("a", "b")).alias("id"))
-    grouped = pairs.groupBy("place", "chunk").cogroup(sides.distinct().join(sets, "id").groupBy("at", "of"))
-    return grouped.applyInPandas(check, "a long, b long")
-
-
 def _unpacked(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -360,12 +395,11 @@ def linked_rows(docs: DataFrame) -> DataFrame:
         leaves = leaves.unionByName(written(again, "leaves-again"))
     labelled = leaves.join(parts, "id", "left").select(
         "place", "chunk", "id", "open", "sketch", F.coalesce("part", "id").alias("part"), F.col("place").alias("at"), F.col("chunk").alias("of"))
-    crossing = labelled.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
-        cross, "a long, b long, place long, chunk int")
-    # A pair that meets in several leaves is confirmed in one of them.
-    crossing = crossing.groupBy("a", "b").agg(F.min(F.struct("place", "chunk")).alias("at")).select("a", "b", "at.place", "at.chunk")
-    crossing = written(crossing.join(links, ["a", "b"], "left_anti"), "crossing")
-    more = written(confirmed_in_leaves(crossing, full), "more-links")
+    apart = written(labelled.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
+        suspects, "place long, chunk int, id long, part long"), "suspects")
+    whole_sets = apart.join(full, "id").select("place", "chunk", "id", "part", "members")
+    more = written(whole_sets.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
+        settle, "a long, b long"), "more-links")
     every = links.filter("linked").select("a", "b").unionByName(more)
     whole = components(every)
     named = sets.select("id", "doc_id").join(whole.withColumnRenamed("node", "id"), "id", "left")

@@ -296,6 +296,35 @@ def test_sets_refused_by_their_leader_are_compared_again(spark, monkeypatch):
     assert wanted[81] == 80 and [found[i] for i in range(len(texts))] == wanted
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_links_between_components_of_a_leaf(seed):
+    rng = random.Random(seed)
+    cores = [rng.sample(range(1, 10_000), 40) for _ in range(4)]
+    texts = [" ".join(f"w{x}" for x in rng.choice(cores)[: rng.randrange(20, 41)] + rng.sample(range(20_000, 90_000), rng.randrange(12))) for _ in range(90)]
+    sets = [shingle_set(t) for t in texts]
+    numbers = {x: i for i, x in enumerate(sorted(frozenset().union(*sets)))}
+    members = [np.array(sorted(numbers[x] for x in one), np.uint64) for one in sets]
+    found = minhash.joined(members, np.arange(len(texts)))
+    label = list(range(len(texts)))
+    for a, b in found:
+        assert 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    assert label == brute_components(texts) and len(set(label)) < len(texts)
+    assert minhash.joined(members, np.array(label)) == []
+
+
+def test_many_sets_just_below_the_threshold(spark):
+    rng = random.Random(77)
+    base = prose(rng, 150)
+    texts = [f"{base} {prose(rng, 30)}" for _ in range(150)]  # all pairs at about 0.71
+    texts += [f"{text} {prose(rng, 2)}" for text in texts[:40]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in collected(minhash.near_duplicates(frame))}
+    wanted = brute_components(texts)
+    assert len(set(wanted)) > 10 and [found[i] for i in range(len(texts))] == wanted
+
+
 def test_one_of_each_group_stays(docs, empty):
     kept = collected(minhash.keep_one(docs))
     assert set(kept[0]) == set(docs.columns)
