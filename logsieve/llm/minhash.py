@@ -45,6 +45,7 @@ BINS = 128
 NEAR = 0.58  # a sketch this close may belong to a pair at the threshold (4.5 standard deviations)
 SURE = 0.82
 CHUNK = 20_000
+SMALL_TABLE = 2_000_000  # rows of two numbers that are broadcast at most
 
 _hashers: list[WordHasher] = []
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -154,7 +155,7 @@ def absorb(large: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """leaves (place, chunk, id, open, sketch) to compare, pointers (id, rank, other, score) made on the way,
+    """leaves (place, chunk, id, open, whole, sketch) to compare, pointers (id, rank, other, score) made on the way,
     and the large places (place, id, open, leader, score) of each level.
 
     ``open`` tells the sets that still need partners from those that only serve as such."""
@@ -165,7 +166,9 @@ def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     leaves, pointers, large = [], [], []
     for depth in range(DEPTH):
         sizes = sized(level)
-        leaves.append(level.join(sizes.filter(small()), "place").select("place", "n", "id", "open"))
+        # A place of the first level that is a leaf holds all its sets, open and in one chunk: it is whole.
+        whole = F.lit(depth == 0) & (F.col("n") <= CHUNK)
+        leaves.append(level.join(sizes.filter(small()), "place").select("place", "n", "id", "open", whole.alias("whole")))
         if not sizes.filter(~small()).take(1):
             break
         led = absorb(level.join(sizes.filter(~small()).select("place"), "place"), sets)
@@ -176,7 +179,7 @@ def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         sizes = sized(level)
         last = depth == DEPTH - 1
         done = F.lit(True) if last else small()
-        leaves.append(level.join(sizes.filter(done), "place").select("place", "n", "id", "open"))
+        leaves.append(level.join(sizes.filter(done), "place").select("place", "n", "id", "open", F.lit(False).alias("whole")))
         if last or not sizes.filter(~small()).take(1):
             break
         branch = F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])).alias("branch")
@@ -194,12 +197,12 @@ def grow_trees(sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
 
 
 def chunked(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Leaves (place, chunk, id, open, sketch) of the places (place, n, id, open)."""
+    """Leaves (place, chunk, id, open, whole, sketch) of the places (place, n, id, open, whole)."""
     # Large leaves are compared in chunks; the open sets go to each chunk.
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.array(F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int"))
     chunk = F.explode(F.when(F.col("open"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
-    return found.withColumn("chunk", chunk).select("place", "chunk", "id", "open").join(sets.select("id", "sketch"), "id")
+    return found.withColumn("chunk", chunk).select("place", "chunk", "id", "open", "whole").join(sets.select("id", "sketch"), "id")
 
 
 def reopened(large: list[DataFrame], parts: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -219,7 +222,7 @@ def reopened(large: list[DataFrame], parts: DataFrame, sets: DataFrame) -> DataF
     members = led.select("place", "id").join(places, "place")
     members = members.join(again, ["place", "id"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     sized_ = members.join(members.groupBy("place").agg(F.count("*").alias("n")), "place")
-    return chunked(sized_.withColumn("place", F.xxhash64(F.lit(6), "place")), sets)
+    return chunked(sized_.withColumn("place", F.xxhash64(F.lit(6), "place")).withColumn("whole", F.lit(False)), sets)
 
 
 def _leaves(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list]]:
@@ -267,11 +270,13 @@ def point(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suspects(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of a leaf that resemble a set of another component there, one row for each, with the leaf."""
+    """The sets of a leaf that resemble a set of another component there, one row for each, with the leaf.
+
+    Two sets that share several whole places are looked at in the smallest of these only."""
     schema = pa.schema([("place", pa.int64()), ("chunk", pa.int32()), ("id", pa.int64()), ("part", pa.int64())])
     for ids, sketches, opens, extra in _leaves(source):
-        parts = np.array([part for part, _, _ in extra])
-        place, chunk = extra[0][1:]
+        parts = np.array([row[0] for row in extra])
+        _, place, chunk, _ = extra[0]
         kinds, part = np.unique(parts, return_inverse=True)
         if len(kinds) < 2:
             continue
@@ -280,10 +285,16 @@ def suspects(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(part == largest, kind="stable")
         ids, sketches, opens, part = np.array(ids)[order], sketches[order], opens[order], part[order]
         marked = np.zeros(len(ids), bool)
+        places = np.full((len(ids), TREES), place)
+        for row, at in enumerate(order):
+            held = extra[at][3] or []
+            places[row, : len(held)] = held
         for at in range(int((part != largest).sum())):
             later = at + 1 + np.flatnonzero((part[at + 1 :] != part[at]) & (opens[at] | opens[at + 1 :]))
             if len(later):
                 close = later[likeness(sketches[at], sketches[later]) >= NEAR]
+                for other in np.unique(places[at][places[at] < place]):  # compared there
+                    close = close[~(places[close] == other).any(1)]
                 marked[close] = True
                 marked[at] |= len(close) > 0
         n = int(marked.sum())
@@ -393,8 +404,10 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     again = reopened(large, parts, sets)
     if again is not None:
         leaves = leaves.unionByName(written(again, "leaves-again"))
-    labelled = leaves.join(parts, "id", "left").select(
-        "place", "chunk", "id", "open", "sketch", F.coalesce("part", "id").alias("part"), F.col("place").alias("at"), F.col("chunk").alias("of"))
+    held = leaves.filter("whole").groupBy("id").agg(F.collect_list("place").alias("places"))
+    labelled = leaves.join(parts, "id", "left").join(held, "id", "left").select(
+        "place", "chunk", "id", "open", "sketch", F.coalesce("part", "id").alias("part"), F.col("place").alias("at"), F.col("chunk").alias("of"),
+        "places")
     apart = written(labelled.repartition("place", "chunk").sortWithinPartitions("place", "chunk").mapInArrow(
         suspects, "place long, chunk int, id long, part long"), "suspects")
     whole_sets = apart.join(full, "id").select("place", "chunk", "id", "part", "members")
@@ -445,5 +458,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    # The texts stay where they are read as long as the wanted keys are few.
+    if wanted.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
+        wanted = F.broadcast(wanted)
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"])
     return docs.join(wanted, same).select(wanted["id"], docs["text"]).mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
