@@ -59,9 +59,8 @@ class JsonValue:
         self.tagged = tagged
 
     @staticmethod
-    def tag(value: Column) -> Column:
-        """The column to put into a projection, from a variant column."""
-        shown = F.to_json(value)
+    def tag(value: Column, shown: Column) -> Column:
+        """The column to put into a projection, from a variant column and its JSON text (a column too, as it is read often)."""
         quoted = shown.startswith('"')
         escaped = F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"))
         bare = F.left(shown, F.length(shown) - 1)

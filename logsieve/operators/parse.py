@@ -223,8 +223,11 @@ def _parse_jsonl(lines: DataFrame, mapping: Mapping[str, Sequence[str]]) -> Data
         *kept,
         F.col("_doc").isNotNull().alias("_object"),
         F.coalesce(*[F.col("_doc").getField(key) for key in aliases["attributes"]]).alias("_attributes"),
-        *[JsonValue.tag(F.col("_doc").getField(key)).alias(f"_tag{at}") for at, key in enumerate(keys)],
+        *[F.col("_doc").getField(key).alias(f"_value{at}") for at, key in enumerate(keys)],
+        *[F.to_json(F.col("_doc").getField(key)).alias(f"_shown{at}") for at, key in enumerate(keys)],
     )
+    tags = [JsonValue.tag(F.col(f"_value{at}"), F.col(f"_shown{at}")).alias(f"_tag{at}") for at in range(len(keys))]
+    df = df.select(*kept, "_object", "_attributes", *tags)
 
     def own(name: str) -> Column:
         """The first alias that is present, be it null."""

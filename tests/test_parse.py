@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,15 @@ def test_week_dates(spark):
             expected = None
         assert rows[at]["event_local"] == expected, text
         assert rows[at]["reject_reason"] == (None if expected else "bad timestamp"), text
+
+
+def test_each_key_is_shown_once(spark):
+    """The JSON text of a key is made in one place of the plan, however often it is read."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        parsed = parse_access_logs(spark.createDataFrame([('{"a": 1}',)], "value string"), "jsonl", mode="keep")
+        plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    shown = set(re.findall(r"AS (_shown\d+)#", plan))
+    assert shown and len(re.findall(r"to_json|StructsToJson", plan)) <= len(shown)
