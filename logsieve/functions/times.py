@@ -12,6 +12,8 @@ _CLF = (
     r"^([0-9]{1,2})/([A-Za-z]{3})/([0-9]{4}):([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\s+"
     r"(Z|[+-][0-9]{2}:?[0-9]{2}(?::?[0-9]{2})?)$"
 )
+# The usual form, of 26 characters at fixed places.
+_USUAL = r"^[0-9]{2}/[A-Za-z]{3}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}$"
 # Groups: year, dash, month, day, hour, colon, minute, second, fraction, offset.
 _ISO = (
     r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})"
@@ -46,15 +48,18 @@ def time_pieces(text: Column) -> Column:
 
     One regex pass rearranges the text into marked pieces; a text in neither
     format gives an array of one element. Only the slash format has a slash
-    after the one or two digits of its day.
+    after the one or two digits of its day. In its usual form the pieces are cut out.
     """
+    places = [(8, 4), (4, 3), (1, 2), (13, 2), (16, 2), (19, 2)]
+    cut = F.array(F.lit(""), *[F.substring(text, *place) for place in places], F.lit("0"), F.substring(text, 22, 5))
+    usual = (F.length(text) == 26) & text.rlike(_USUAL)
     text = calendar_text(text)
     order = _MARK.join(["", "$3", "$2", "$1", "$4", "$5", "$6", "0", "$7"])
     clf = F.regexp_replace(text, _CLF, order)
     order = _MARK.join(["", "$1", "$3", "$4", "$5", "$7", "$8", "$9", "$10"])
     iso = F.regexp_replace(text, _ISO, order)
     chosen = F.when(F.instr(text, "/").between(2, 3), clf).otherwise(iso)
-    return F.split(F.when(~F.contains(text, F.lit(_MARK)), chosen), _MARK)
+    return F.when(usual, cut).otherwise(F.split(F.when(~F.contains(text, F.lit(_MARK)), chosen), _MARK))
 
 
 def local_time(pieces: Column) -> Column:
@@ -76,7 +81,8 @@ def local_time(pieces: Column) -> Column:
 def offset_text(pieces: Column) -> Column:
     """Offset as ``+HH:MM`` (or ``+HH:MM:SS``); null when the text has none."""
     zone = F.get(pieces, F.lit(8))
-    digits = F.regexp_replace(F.substring_index(zone, ".", 1), "[^0-9]", "")
+    # Besides digits a zone holds these, and perhaps a line end behind it.
+    digits = F.translate(F.substring_index(zone, ".", 1), "Z+-:\r\n\u0085\u2028\u2029", "")
     hours = F.substring(digits, 1, 2)
     minutes = F.rpad(F.substring(digits, 3, 2), 2, "0")
     seconds = F.substring(digits, 5, 2)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import line_frame
+from logsieve.functions import times
 from logsieve.operators.parse import java_pattern, parse_access_logs, split_rejects
 from logsieve.options import JobOptions, merge_mapping, path_list
 
@@ -215,3 +216,17 @@ def test_each_key_is_shown_once(spark):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     shown = set(re.findall(r"AS (_shown\d+)#", plan))
     assert shown and len(re.findall(r"to_json|StructsToJson", plan)) <= len(shown)
+
+
+def test_times_in_the_usual_form_are_cut_out(spark):
+    """The usual form gives the pieces of the pattern; others, one space more or a line end, still go through it."""
+    usual = "27/Jan/2024:11:04:31 -0530"
+    pieces = ["", "2024", "Jan", "27", "11", "04", "31", "0", "-0530"]
+    texts = [usual, usual.replace(" ", "  "), usual.replace(" ", "\t"), usual + "\n", "7" + usual[2:], usual.replace("Jan", "J4n"), "2024-01-27T11:04:31-05:30", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", times.time_pieces(F.col("text")).alias("p"))
+    rows = frame.select("i", "p", times.offset_text(F.col("p")).alias("offset")).orderBy("i").collect()
+    assert [r["p"] for r in rows[:3]] == [pieces] * 3
+    assert rows[3]["p"] == [*pieces[:-1], "-0530\n"] and rows[4]["p"] == [*pieces[:3], "7", *pieces[4:]]
+    assert [r["offset"] for r in rows] == ["-05:30"] * 5 + [None, "-05:30", None]
+    shown = times.offset_text(F.col("p"))
+    assert "regexp" not in frame.select(shown)._jdf.queryExecution().analyzed().toString().split("Project")[1]
