@@ -48,19 +48,20 @@ def json_lines(events: DataFrame, *kept: str, extra: dict[str, Column] | None =
     return events.select(*kept, value.alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    lines.select("value").write.mode(mode).text(path)
+def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    lines.select("value").write.mode(mode).text(path, compression=compression)
 
 
 def write_labelled_set(clean: DataFrame, attacks: DataFrame, mixed: DataFrame, path: str, key: str) -> None:
     """The three files of a labelled set as JSON lines below ``path``: clean and attacks by key, and the shuffled mix.
 
     Every line of the last two carries its ``_label``. A rerun replaces the set; the mix, which readers
-    take as a whole, is replaced last.
+    take as a whole, is replaced last. The files are compressed by gzip, as a line repeats the keys of all others;
+    line readers unpack them.
     """
     own = F.when(F.col("label") != "clean", F.col("label"))
     for name, rows, labels, order in (
         ("clean", clean, None, [key]), ("attacks", attacks, {"_label": F.col("label")}, [key]), ("mixed", mixed, {"_label": own}, ["mix_order", key]),
     ):
         lines = json_lines(rows.orderBy(*order), extra=labels)
-        write_lines(lines, f"{path}/{name}", mode="overwrite")
+        write_lines(lines, f"{path}/{name}", mode="overwrite", compression="gzip")

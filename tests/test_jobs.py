@@ -76,6 +76,17 @@ def test_labelled_set_is_written_whole_and_replaced(spark, folder, tmp_path):
     assert not any("_label" in json.loads(r["value"]) for r in read_lines(spark, f"{path}/clean").collect())
 
 
+def test_labelled_set_takes_little_room(spark, folder, tmp_path):
+    """The files of a set took several times the room of the tables it is made of."""
+    events = access_log_events(spark, folder).drop("label").filter("event_id < 300")
+    attacks = lab.inject_attacks(events, "event_id", lab.sample_templates(events, "event_id"))
+    write_labelled_set(events, attacks, lab.labelled_mix(events, attacks, "event_id"), str(tmp_path / "set"), "event_id")
+    for name, n in (("clean", 300), ("attacks", 300), ("mixed", 600)):
+        lines = read_lines(spark, str(tmp_path / "set" / name)).agg(F.count("*").alias("n"), F.sum(F.length("value") + 1).alias("size")).first()
+        files = list((tmp_path / "set" / name).glob("part-*"))
+        assert lines["n"] == n and 3 * sum(file.stat().st_size for file in files) < lines["size"]
+
+
 def test_duration_quantiles(spark):
     at = datetime(2026, 5, 1, tzinfo=UTC)
     rows = [(n, at + timedelta(seconds=60 * n), [0.02, 0.3, 0.3, 20.0][n % 4]) for n in range(8)]
